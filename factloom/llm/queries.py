@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, token_counts
-from .common import fresh_path, table
+from . import bpe, centroid_language, exact_dedup, pairwise_quality, rans_tokens, token_counts, url_rules, weak_toxicity
+from .common import fresh_path, held_out, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,15 +15,45 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), fresh_path(spark, "token-cache")).drop("digest")
 
 
+def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans_tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 3, 1)
+    model = pairwise_quality.fit(docs, table(spark, sf_dir, "labels"), ~out)
+    return pairwise_quality.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+#: The rules of the query.
+URL_RULES = [url_rules.Rule(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    model = centroid_language.fit(docs.select("doc_id", "text", "lang"), ~out)
+    return centroid_language.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
+    model = weak_toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out)
+    return weak_toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_rans_tokens, op3_exact_dedup, op4_pairwise_quality, op6_url_rules, op7_centroid_language, op9_weak_toxicity, op10_bpe)}
 
 ORACLES = {
     "op3_exact_dedup": """
