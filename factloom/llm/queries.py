@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroid_language, exact_dedup, pairwise_quality, rans_tokens, token_counts, url_rules, weak_toxicity
+from . import bpe, centroid_language, exact_dedup, latent_leaks, pairwise_quality, rans_tokens, token_counts, url_rules, weak_toxicity
 from .common import fresh_path, held_out, table
 
 
@@ -43,6 +43,11 @@ def op7_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_language.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document with a benchmark passage and each such item."""
+    return latent_leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
     model = weak_toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out)
@@ -53,7 +58,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_rans_tokens, op3_exact_dedup, op4_pairwise_quality, op6_url_rules, op7_centroid_language, op9_weak_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_rans_tokens, op3_exact_dedup, op4_pairwise_quality, op6_url_rules, op7_centroid_language, op8_latent_leaks, op9_weak_toxicity, op10_bpe)}
 
 ORACLES = {
     "op3_exact_dedup": """
