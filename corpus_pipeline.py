@@ -1,4 +1,10 @@
-"""A cleaning pipeline over ``documents``: STAGES applied one after the other, each written and read again."""
+"""A cleaning pipeline over ``documents``: STAGES applied one after the other, each written and read again.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and, but
+for the last, returns the columns of its input.  Nulls: a document with null text stays (equal
+null texts are copies of each other); one with a null doc_id stays unless it is toxic, an exact
+copy or the copy of a document with an id.  Empty tables stay empty.
+"""
 
 from __future__ import annotations
 
@@ -6,27 +12,51 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, exact_dedup
-from factloom.llm.common import stage, table
+from factloom.llm import bpe, exact_dedup, jaccard_regions, latent_leaks, weak_toxicity
+from factloom.llm.common import body, stage, table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised classifier rejects go."""
+    model = weak_toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return weak_toxicity.without_toxic(docs, model)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
-    kept = exact_dedup.exact_dedup(docs, keep="smallest").where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of equal texts one row stays, with the smallest doc_id."""
+    def key(df: DataFrame, sha) -> DataFrame:
+        return df.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__sha": sha})
+
+    kept = key(exact_dedup.exact_dedup(docs, keep="smallest").where("kept"), F.col("text_sha256")).select("__id", "__sha")
+    rows = key(docs, F.sha2(body("text").cast("binary"), 256)).join(kept, ["__id", "__sha"], "left_semi")
+    return rows.dropDuplicates(["__id", "__sha"]).select(*docs.columns)  # a row repeated with its id
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at a similarity of 0.8 the one with the smallest doc_id stays."""
+    classes = jaccard_regions.near_duplicates(docs, words=5, percent=80)
+    return docs.join(classes.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    leaks = latent_leaks.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded text of what is left."""
     return bpe.encode_table(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("exact_dedup", exact_duplicates), ("bpe", encode)]
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_duplicates), ("near_dedup", near_duplicates), ("decontamination", decontaminate), ("bpe", encode)]
 
 #: Toxicity, near duplicates and latent retrieval cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroid_language, exact_dedup, latent_leaks, pairwise_quality, rans_tokens, token_counts, url_rules, weak_toxicity
+from . import bpe, centroid_language, exact_dedup, jaccard_regions, latent_leaks, pairwise_quality, rans_tokens, token_counts, url_rules, weak_toxicity
 from .common import fresh_path, held_out, table
 
 
@@ -29,6 +29,10 @@ def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_quality.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op5_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_regions.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 #: The rules of the query.
 URL_RULES = [url_rules.Rule(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
 
@@ -58,7 +62,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_rans_tokens, op3_exact_dedup, op4_pairwise_quality, op6_url_rules, op7_centroid_language, op8_latent_leaks, op9_weak_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_rans_tokens, op3_exact_dedup, op4_pairwise_quality, op5_jaccard_regions, op6_url_rules, op7_centroid_language, op8_latent_leaks, op9_weak_toxicity, op10_bpe)}
 
 ORACLES = {
     "op3_exact_dedup": """
