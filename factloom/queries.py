@@ -2,5 +2,460 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.hashing import fnv1a32
+from .model import hlc, millis, mutations, read
+from .operators import agenda as agendas
+from .operators import clock, lww, mapping, ordering, pending, sketches, store
+from .operators import log as logs
+from .operators import table as tables
+from .plans import cascade, graph
+from .plans.registry import Registry
+from .sources.registry import conflate
+from .streaming.facts import facts
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+#: The mutation log as SQL; seq is the order of arrival.
+_SEQ = "((event_id * 7919) % 10007) * 1099511627776 + event_id"
+_M = f"WITH m AS (SELECT user_id AS entity, event_type AS component, value, epoch_us(ts) // 1000 AS wall, event_id AS logical, {_SEQ} AS seq, event_id FROM events)"
+_ACC = f"{_M}, b AS (SELECT *, max({{'w': wall, 'l': logical}}) OVER (PARTITION BY entity, component ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM m), a AS (SELECT *, seen IS NULL OR {{'w': wall, 'l': logical}} > seen AS accepted FROM b)"
+_LATEST = f"{_M} SELECT entity, component, arg_max(value, {{'w': wall, 'l': logical}}) AS value, max({{'w': wall, 'l': logical}}).w AS wall, max({{'w': wall, 'l': logical}}).l AS logical FROM m GROUP BY ALL"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.select("entity", "component", "value", "hlc.wall", "hlc.logical")
+
+
+@query(_LATEST)
+def lww_latest(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(lww.latest(mutations(spark, d)))
+
+
+@query(f"{_ACC} SELECT event_id, accepted FROM a")
+def lww_accept(spark, d):
+    return lww.accepted(mutations(spark, d)).select("event_id", "accepted")
+
+
+@query(f"{_ACC} SELECT component, count(*) AS n, count(*) FILTER (WHERE accepted) AS n_accepted FROM a GROUP BY component")
+def lww_accept_rate(spark, d):
+    return lww.accepted(mutations(spark, d)).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.count_if("accepted").alias("n_accepted"))
+
+
+@query(_LATEST)
+def lww_merge(spark, d):
+    m = mutations(spark, d)
+    return _flat(lww.merge(lww.latest(m.where("event_id % 2 = 0")), lww.latest(m.where("event_id % 2 = 1"))))
+
+
+@query("SELECT count(*) AS n_keys FROM (SELECT DISTINCT user_id, event_type FROM events)")
+def lww_key_count(spark, d):
+    return lww.latest(mutations(spark, d)).agg(F.count(F.lit(1)).alias("n_keys"))
+
+
+@query(f"SELECT user_id AS entity, event_type AS component, arg_max(value, {{'d': date_trunc('day', ts), 's': -({_SEQ})}}) AS value FROM events GROUP BY ALL")
+def lww_tie_first(spark, d):
+    """Timestamps cut to the day: of the many equal ones the first arrival stays."""
+    m = mutations(spark, d)
+    day = F.floor(F.col("hlc.wall") / 86400000).cast("long") * 86400000
+    return lww.latest(m.withColumn("hlc", hlc(day, F.lit(0), F.lit(1)))).select("entity", "component", "value")
+
+
+@query(f"{_ACC} SELECT event_id, value, lag(value) OVER (PARTITION BY entity, component ORDER BY seq) AS previous FROM a WHERE accepted")
+def lww_undo(spark, d):
+    return lww.undo(mutations(spark, d)).select("event_id", "value", "previous")
+
+
+@query(f"{_M} SELECT entity, component, arg_max(value, {{'w': wall, 'l': logical}}) AS value FROM m WHERE wall <= 1705276800000 GROUP BY ALL")
+def lww_as_of(spark, d):
+    return lww.as_of(mutations(spark, d), hlc(F.lit(1705276800000), F.lit(2**62), F.lit(1))).select("entity", "component", "value")
+
+
+@query(f"{_M}, c AS (SELECT entity, component, arg_max(value, {{'w': wall, 'l': logical}}) AS value FROM m WHERE event_id % 3 = 0 GROUP BY ALL), s AS (SELECT entity, component, arg_max(value, {{'w': wall, 'l': logical}}) AS value FROM m WHERE event_id % 3 <> 0 GROUP BY ALL) SELECT entity, component, coalesce(c.value, s.value) AS value FROM c FULL JOIN s USING (entity, component)")
+def read_through(spark, d):
+    m = mutations(spark, d)
+    return lww.read_through(lww.latest(m.where("event_id % 3 = 0")), lww.latest(m.where("event_id % 3 <> 0"))).drop("namespace")
+
+
+@query(f"{_M} SELECT 'default' AS namespace, max({{'w': wall, 'l': logical}}).w AS wall, max({{'w': wall, 'l': logical}}).l AS logical FROM m")
+def latest_timestamp(spark, d):
+    return lww.latest_timestamp(lww.latest(mutations(spark, d))).select("namespace", "hlc.wall", "hlc.logical")
+
+
+@query(f"{_M}, w AS (SELECT *, max(wall) OVER (PARTITION BY entity ORDER BY seq) AS top FROM m) SELECT event_id, top AS wall, row_number() OVER (PARTITION BY entity, top ORDER BY seq) - 1 AS logical FROM w")
+def hlc_send(spark, d):
+    ticks = mutations(spark, d).select(F.col("entity").alias("node"), "event_id", "seq", F.col("hlc.wall").alias("now"))
+    return clock.send(ticks).select("event_id", "wall", "logical")
+
+
+@query(f"""{_M}, s AS (SELECT entity, max(wall) AS wall, 3 AS logical FROM m WHERE event_id % 2 = 0 GROUP BY entity),
+    w AS (SELECT m.*, greatest(max(m.wall) OVER (PARTITION BY m.entity ORDER BY m.seq), s.wall) AS top, s.wall AS base FROM m LEFT JOIN s USING (entity) WHERE event_id % 2 = 1)
+    SELECT event_id, coalesce(top, wall) AS wall, row_number() OVER (PARTITION BY entity, top ORDER BY seq) - 1 + CASE WHEN top = base THEN 4 ELSE 0 END AS logical FROM w""")
+def hlc_restore(spark, d):
+    m = mutations(spark, d)
+    seeds = m.where("event_id % 2 = 0").groupBy(F.col("entity").alias("node")).agg(F.max("hlc.wall").alias("wall"), F.lit(3).cast("long").alias("logical"))
+    ticks = m.where("event_id % 2 = 1").select(F.col("entity").alias("node"), "event_id", "seq", F.col("hlc.wall").alias("now"))
+    return clock.send_after(ticks, seeds).select("event_id", "wall", "logical")
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT user_id AS node, epoch_us(ts) // 1000 AS now, epoch_us(ts) // 1000 + ((event_id * 31) % 7 - 3) * 1000 AS rw, event_id % 4 AS rl,
+        row_number() OVER (PARTITION BY user_id ORDER BY {_SEQ}) AS k FROM events),
+    f(node, k, wall, logical) AS (SELECT DISTINCT node, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM m UNION ALL
+        SELECT f.node, m.k, greatest(m.now, f.wall, m.rw),
+            CASE WHEN greatest(m.now, f.wall, m.rw) = f.wall AND f.wall = m.rw THEN greatest(f.logical, m.rl) + 1
+                 WHEN greatest(m.now, f.wall, m.rw) = f.wall THEN f.logical + 1
+                 WHEN greatest(m.now, f.wall, m.rw) = m.rw THEN m.rl + 1 ELSE 0 END
+        FROM f JOIN m ON m.node = f.node AND m.k = f.k + 1)
+    SELECT node, arg_max(wall, k) AS wall, arg_max(logical, k) AS logical FROM f GROUP BY node""")
+def hlc_receive(spark, d):
+    m = mutations(spark, d)
+    shift = ((F.col("event_id") * 31) % 7 - 3) * 1000
+    messages = m.select(F.col("entity").alias("node"), "seq", F.col("hlc.wall").alias("now"), (F.col("hlc.wall") + shift).alias("remote_wall"), (F.col("event_id") % 4).alias("remote_logical"))
+    return clock.receive(messages)
+
+
+@query(f"{_M} SELECT x.event_id, {{'w': x.wall, 'l': x.logical}} > {{'w': y.wall, 'l': y.logical}} AS later FROM m x JOIN m y ON y.event_id = x.event_id + 1")
+def hlc_order(spark, d):
+    m = mutations(spark, d).select("event_id", "hlc")
+    after = m.select((F.col("event_id") - 1).alias("event_id"), F.col("hlc").alias("other"))
+    return m.join(after, "event_id").select("event_id", (F.col("hlc") > F.col("other")).alias("later"))
+
+
+_MAPPERS = {"counter": ("k bigint", ["k"]), "named": ("name string", ["name"]), "any": ("k string, extra string", ["k"])}
+
+
+@query("SELECT event_id, component, CASE component WHEN 'counter' THEN CAST(json_extract_string(props, '$.k') AS BIGINT)::VARCHAR ELSE json_extract_string(props, '$.k') END AS k FROM events, (VALUES ('counter'), ('any')) c(component) WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def mapper_fanout(spark, d):
+    payloads = read(spark, d, "events").select("event_id", F.col("props").alias("payload"))
+    out = mapping.fan_out(payloads, {n: mapping.json_mapper(*s) for n, s in _MAPPERS.items()})
+    return out.select("event_id", "component", F.get_json_object("value", "$.k").alias("k"))
+
+
+@query("SELECT page_id FROM pages")
+def mapper_decline(spark, d):
+    """Raw pages are no JSON objects: every mapper declines each of them."""
+    payloads = read(spark, d, "pages").select("page_id", F.col("html").alias("payload"))
+    return mapping.declined(payloads, {n: mapping.json_mapper(*s) for n, s in _MAPPERS.items()}).select("page_id")
+
+
+_TEXTS = "CASE event_id % 7 WHEN 0 THEN 'true' WHEN 1 THEN CAST(user_id AS VARCHAR(20)) WHEN 2 THEN '2.5' WHEN 3 THEN '\"x\"' WHEN 4 THEN props WHEN 5 THEN '[1]' ELSE '{{' END"
+
+
+@query(f"SELECT event_id, CASE event_id % 7 WHEN 6 THEN NULL ELSE CASE json_type(t) WHEN 'BOOLEAN' THEN 'bool' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' ELSE 'bytes' END END AS tag FROM (SELECT event_id, CASE WHEN event_id % 7 = 6 THEN 'null' ELSE {_TEXTS} END AS t FROM events)")
+def json_sniff(spark, d):
+    return read(spark, d, "events").withColumn("t", F.expr(_TEXTS.replace("VARCHAR(20)", "STRING"))).select("event_id", mapping.tag("t").alias("tag"))
+
+
+@query(f"{_M} SELECT entity, arg_max(value, {{'w': wall, 'l': logical}}) FILTER (WHERE component = 'view') AS view_value, arg_max(value, {{'w': wall, 'l': logical}}) FILTER (WHERE component = 'purchase') AS purchase_value FROM m GROUP BY entity")
+def state_pivot(spark, d):
+    """Several components of one entity side by side, as a rule reads them."""
+    last = {c: F.max_by(F.when(F.col("component") == c, F.col("value")), F.when(F.col("component") == c, F.col("hlc"))).alias(f"{c}_value") for c in ("view", "purchase")}
+    return mutations(spark, d).groupBy("entity").agg(*last.values())
+
+
+def event_rules() -> Registry:
+    """Rules over the event types, for the agenda queries."""
+    r = Registry()
+    r.source("Events", {c: "value double" for c in ("view", "click", "purchase", "signup", "error")})
+    r.rule(["Events::view", "Events::click"], priority=5)(lambda df: df)
+    r.rule(["Events::purchase"], priority=20)(lambda df: df)
+    r.rule(["Events::view", "Events::purchase"], priority=20)(lambda df: df)
+    r.rule(["Events::click"], priority=7)(lambda df: df)
+    return r
+
+
+_RULES = "w(component, rule_id) AS (VALUES ('view', 0), ('click', 0), ('purchase', 1), ('view', 2), ('purchase', 2), ('click', 3)), r(rule_id, priority) AS (VALUES (0, 5), (1, 20), (2, 20), (3, 7))"
+
+
+def _dirty(spark, d):
+    return read(spark, d, "events").select(F.col("event_id").alias("dirty_id"), F.col("user_id").alias("entity"), F.col("event_type").alias("component"))
+
+
+@query(f"WITH {_RULES} SELECT event_id AS dirty_id, w.rule_id::BIGINT AS rule_id, row_number() OVER (PARTITION BY event_id ORDER BY priority DESC, w.rule_id) AS place FROM events JOIN w ON component = event_type JOIN r ON r.rule_id = w.rule_id")
+def agenda(spark, d):
+    r = event_rules()
+    return agendas.agenda(_dirty(spark, d), r.watchers(spark), r.rule_table(spark)).select("dirty_id", "rule_id", "place")
+
+
+@query("SELECT event_id AS dirty_id FROM events WHERE event_type NOT IN ('view', 'click', 'purchase')")
+def unwatched_ack(spark, d):
+    return agendas.unwatched(_dirty(spark, d), event_rules().watchers(spark)).select("dirty_id")
+
+
+@query(f"WITH {_RULES} SELECT DISTINCT w.rule_id::BIGINT AS rule_id, user_id AS entity FROM events JOIN w ON component = event_type")
+def claim_coalesce(spark, d):
+    r = event_rules()
+    return agendas.coalesced(agendas.agenda(_dirty(spark, d), r.watchers(spark), r.rule_table(spark)))
+
+
+def alert_rules() -> Registry:
+    """reading > 10 gives an alert, an alert gives a notification."""
+    r = Registry()
+    r.source("LocalExec", {"reading": "value double", "alert": "triggered boolean", "notification": "msg string"})
+
+    @r.rule(["LocalExec::reading"], priority=10, writes=["LocalExec::alert"])
+    def on_reading(df):
+        return df.withColumns({"component": F.lit("alert"), "value": (F.col("value").cast("double") > 10.0).cast("string")})
+
+    @r.rule(["LocalExec::alert"], priority=5, writes=["LocalExec::notification"])
+    def on_alert(df):
+        text = F.when(F.col("value") == "true", "ALERT: reading exceeded threshold").otherwise("OK: reading normal")
+        return df.withColumns({"component": F.lit("notification"), "value": text})
+
+    return r
+
+
+def _readings(spark, d):
+    return read(spark, d, "events").select(F.col("event_id").alias("cause_id"), F.col("user_id").alias("entity"), F.lit("reading").alias("component"), F.col("value").cast("string").alias("value"))
+
+
+_ALERTS = "SELECT event_id AS cause_id, c.component, CASE c.component WHEN 'alert' THEN (value > 10.0)::VARCHAR ELSE CASE WHEN value > 10.0 THEN 'ALERT: reading exceeded threshold' ELSE 'OK: reading normal' END END AS value, c.depth FROM events, (VALUES ('alert', 1), ('notification', 2)) c(component, depth)"
+
+
+@query(_ALERTS)
+def cascade_alert(spark, d):
+    return cascade.unrolled(_readings(spark, d), alert_rules()).select("cause_id", "component", "value", "depth")
+
+
+@query(_ALERTS)
+def cascade_fixpoint(spark, d):
+    """The same cascade by rounds until nothing fires."""
+    return cascade.to_fixpoint(_readings(spark, d), alert_rules()).select("cause_id", "component", "value", "depth")
+
+
+@query("SELECT CASE c.rule WHEN 1 THEN 'on_reading' ELSE 'on_alert' END AS rule, count(*) AS fired FROM events, (VALUES (1), (2)) c(rule) GROUP BY ALL")
+def cascade_fired_count(spark, d):
+    return cascade.unrolled(_readings(spark, d), alert_rules()).groupBy("rule").agg(F.count(F.lit(1)).alias("fired"))
+
+
+def stock_rules() -> Registry:
+    r = Registry()
+    r.source("WebhookSource", {"level": "quantity bigint", "low": "sku string", "critical": "sku string"})
+
+    @r.rule(["WebhookSource::level"], priority=20, writes=["WebhookSource::low"])
+    def check_stock_level(df):
+        return df.where(F.col("value") < 50).withColumn("component", F.lit("low"))
+
+    @r.rule(["WebhookSource::low"], priority=10, writes=["WebhookSource::critical"])
+    def escalate_alert(df):
+        return df.where(F.col("value") < 20).withColumn("component", F.lit("critical"))
+
+    return r
+
+
+@query("SELECT p_partkey AS entity, 'low' AS component, p_size AS value FROM part WHERE p_size < 50 UNION ALL SELECT p_partkey, 'critical', p_size FROM part WHERE p_size < 20")
+def cascade_inventory(spark, d):
+    levels = read(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.lit("level").alias("component"), F.col("p_size").alias("value"))
+    return cascade.unrolled(levels, stock_rules()).select("entity", "component", "value")
+
+
+_LINKS = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("e", "f"), ("f", "f")]
+_LINKS_SQL = "l(src, dst) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _LINKS) + ")"
+_WALK = f"WITH RECURSIVE {_LINKS_SQL}, walk(src, dst, steps) AS (SELECT src, dst, 1 FROM l UNION ALL SELECT w.src, l.dst, w.steps + 1 FROM walk w JOIN l ON w.dst = l.src WHERE w.steps < 16)"
+
+
+def _links(spark):
+    return spark.createDataFrame(_LINKS, "src string, dst string")
+
+
+@query(f"{_WALK} SELECT src, dst, min(steps) AS steps FROM walk GROUP BY ALL")
+def cascade_closure(spark, d):
+    return graph.reachable(spark, _links(spark))
+
+
+@query(f"{_WALK} SELECT src AS node, min(steps) AS length FROM walk WHERE src = dst GROUP BY src")
+def graph_cycles(spark, d):
+    return graph.on_cycles(spark, _links(spark))
+
+
+@query("SELECT 'a' AS src, 'b' AS dst, 'removed' AS change UNION ALL SELECT 'a', 'z', 'added'")
+def graph_diff(spark, d):
+    return graph.difference(_links(spark), spark.createDataFrame([*_LINKS[1:], ("a", "z")], "src string, dst string"))
+
+
+@query("SELECT * FROM (VALUES ('Events', 'click', 0::BIGINT), ('Events', 'click', 3), ('Events', 'purchase', 1), ('Events', 'purchase', 2), ('Events', 'view', 0), ('Events', 'view', 2)) v(source, component, rule_id)")
+def graph_watchers(spark, d):
+    return event_rules().watchers(spark).drop("component_id")
+
+
+_PENDING = f"{_ACC}, p AS (SELECT row_number() OVER (ORDER BY seq) AS id, event_id, component AS namespace FROM a WHERE accepted)"
+
+
+def _pending(spark, d):
+    return pending.pending_ids(mutations(spark, d)).select("id", "event_id", F.col("component").alias("namespace"))
+
+
+@query(f"{_PENDING} SELECT id, event_id FROM p")
+def pending_ids(spark, d):
+    return _pending(spark, d).select("id", "event_id")
+
+
+@query(f"{_PENDING} SELECT namespace, count(*) AS n FROM p GROUP BY namespace")
+def pending_count(spark, d):
+    return _pending(spark, d).groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_PENDING} SELECT namespace, min(id) AS id, arg_min(event_id, id) AS event_id FROM p GROUP BY namespace")
+def next_pending(spark, d):
+    return pending.following(_pending(spark, d)).select("namespace", "id", "event_id")
+
+
+@query(f"{_PENDING} SELECT id, event_id FROM p WHERE id % 3 <> 0")
+def pending_ack(spark, d):
+    p = _pending(spark, d)
+    acks = p.where("id % 3 = 0").select("id").union(spark.createDataFrame([(-5,)], "id long"))
+    return pending.acknowledge(p, acks).select("id", "event_id")
+
+
+def _ops(spark, d):
+    return read(spark, d, "events").select(F.col("user_id").alias("entity"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "pop").otherwise("push").alias("op"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id AS entity, event_type = 'purchase' AS pop, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    f(entity, k, size, refused, empty) AS (SELECT DISTINCT entity, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM o UNION ALL
+        SELECT f.entity, o.k, CASE WHEN o.pop THEN greatest(size - 1, 0) ELSE least(size + 1, 8) END, refused + (NOT o.pop AND size >= 8)::BIGINT, empty + (o.pop AND size = 0)::BIGINT
+        FROM f JOIN o ON o.entity = f.entity AND o.k = f.k + 1)
+    SELECT entity, arg_max(size, k) AS size, arg_max(refused, k) AS refused, arg_max(empty, k) AS empty FROM f GROUP BY entity""")
+def queue_capacity(spark, d):
+    return pending.queue_fold(_ops(spark, d), 8)
+
+
+@query("WITH q AS (SELECT event_id AS seq, user_id AS entity, event_type AS component FROM events), l AS (SELECT entity, component, max(seq) AS seq FROM q WHERE component = 'error' GROUP BY ALL) SELECT seq FROM q ANTI JOIN l USING (entity, component, seq)")
+def queue_remove_last(spark, d):
+    q = read(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("entity"), F.col("event_type").alias("component"))
+    return pending.remove_last(q, q.where("component = 'error'"), ["entity", "component"]).select("seq")
+
+
+@query("SELECT event_type AS source, max(event_id) AS event_id FROM events GROUP BY event_type, time_bucket(INTERVAL 1 MINUTE, ts)")
+def slot_conflate(spark, d):
+    e = read(spark, d, "events").select(F.col("event_type").alias("source"), "ts", "event_id")
+    return conflate(e, "ts", ["source"], "event_id").select("source", "event_id")
+
+
+@query(f"{_ACC} SELECT event_id FROM a WHERE accepted AND event_id % 4 <> 0")
+def wal_replay(spark, d):
+    """A log that was written and read again: what is pending after its acknowledgements."""
+    m = mutations(spark, d).withColumns({"kind": F.lit("put"), "acks": F.lit(None).cast("long")})
+    acks = m.where("event_id % 4 = 0").withColumns({"kind": F.lit("ack"), "acks": F.col("seq")})
+    path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/log-{uuid.uuid4().hex}"
+    logs.append(m, path)
+    logs.append(acks, path)
+    return logs.replay(spark.read.parquet(path))[1].select("event_id")
+
+
+@query("""WITH RECURSIVE t AS (SELECT event_id, props AS s FROM events), f(event_id, s, k, h) AS (SELECT event_id, s, 0, 2166136261::BIGINT FROM t UNION ALL
+    SELECT event_id, s, k + 1, ((xor(h, ascii(substring(s, k + 1, 1))::BIGINT))::HUGEINT * 16777619 % 4294967296)::BIGINT FROM f WHERE k < length(s)) SELECT event_id, h AS checksum FROM f WHERE k = length(s)""")
+def fnv1a(spark, d):
+    return read(spark, d, "events").select("event_id", fnv1a32("props").alias("checksum"))
+
+
+def _kv(spark, d):
+    return read(spark, d, "events").select(
+        F.lit("ns").alias("namespace"), F.col("user_id").cast("string").alias("module"), F.concat(F.lit("k"), (F.col("event_id") % 5).cast("string")).alias("key"),
+        F.when(F.col("event_type") == "error", "delete").otherwise("set").alias("op"), F.col("value"), F.col("event_id").alias("seq"),
+    )
+
+
+_KV = "WITH o AS (SELECT user_id::VARCHAR AS module, 'k' || (event_id % 5) AS key, event_type = 'error' AS del, value, event_id AS seq FROM events)"
+
+
+@query(f"{_KV} SELECT module, key, arg_max(value, seq) AS value FROM o GROUP BY ALL HAVING NOT arg_max(del, seq)")
+def kv_state(spark, d):
+    return store.state(_kv(spark, d)).drop("namespace")
+
+
+@query(f"{_KV} SELECT seq, existed FROM (SELECT seq, del, coalesce(lag(NOT del) OVER (PARTITION BY module, key ORDER BY seq), false) AS existed FROM o) WHERE del")
+def kv_delete_flags(spark, d):
+    return store.deletions(_kv(spark, d)).select("seq", "existed")
+
+
+def _table(spark, d):
+    return ordering.numbered(read(spark, d, "events").select("event_id", "user_id", "event_type", "value"), "event_id")
+
+
+_T = "WITH t AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS row_id FROM events)"
+
+
+@query(f"{_T} SELECT row_id, value FROM t WHERE row_id BETWEEN 10 AND 30")
+def table_range(spark, d):
+    return tables.row_range(_table(spark, d), 10, 30).select("row_id", "value")
+
+
+@query(f"{_T} SELECT arg_max(value, row_id) AS value FROM t")
+def table_latest(spark, d):
+    return tables.last_value(_table(spark, d), "value")
+
+
+@query(f"{_T} SELECT row_id, event_type FROM t WHERE row_id = 42")
+def table_by_row(spark, d):
+    return _table(spark, d).where("row_id = 42").select("row_id", "event_type")
+
+
+@query("SELECT user_id, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def table_get(spark, d):
+    return tables.by_key(_table(spark, d), "user_id").select("user_id", "value", "event_type")
+
+
+@query("SELECT avg(value) AS average, count(value) AS n FROM events WHERE event_id BETWEEN 1000 AND 9000 AND event_type = 'view'")
+def table_scan_avg(spark, d):
+    return tables.scan_average(read(spark, d, "events"), F.col("event_id").between(1000, 9000) & (F.col("event_type") == "view"), "value")
+
+
+@query("WITH o AS (SELECT event_type || '-' || (user_id % 50) AS key, event_type = 'error' AS del, value, event_id AS seq FROM events) SELECT key, arg_max(value, seq) AS value FROM o GROUP BY key HAVING NOT arg_max(del, seq)")
+def ordered_map(spark, d):
+    ops = read(spark, d, "events").select(F.concat_ws("-", "event_type", (F.col("user_id") % 50).cast("string")).alias("key"), F.when(F.col("event_type") == "error", "delete").otherwise("set").alias("op"), "value", F.col("event_id").alias("seq"))
+    return ordering.ordered_map(ops)
+
+
+@query("SELECT event_type, count(DISTINCT user_id)::BIGINT AS n FROM events GROUP BY event_type")
+def bitmap_count(spark, d):
+    return sketches.bits_set(sketches.bitmap(read(spark, d, "events"), "user_id", ["event_type"]), ["event_type"])
+
+
+@query("WITH v AS (SELECT DISTINCT user_id AS p FROM events WHERE event_type = 'error' AND value > 50), c AS (SELECT DISTINCT user_id AS p FROM events WHERE event_type = 'purchase' AND value > 50), x AS (SELECT 'and' AS op, p FROM (SELECT p FROM v INTERSECT SELECT p FROM c) UNION ALL SELECT 'or', p FROM (SELECT p FROM v UNION SELECT p FROM c) UNION ALL SELECT 'andnot', p FROM (SELECT p FROM v EXCEPT SELECT p FROM c) UNION ALL SELECT 'xor', p FROM ((SELECT p FROM v EXCEPT SELECT p FROM c) UNION (SELECT p FROM c EXCEPT SELECT p FROM v))) SELECT op, p FROM x")
+def bitmap_setops(spark, d):
+    e = read(spark, d, "events").where("value > 50")
+    a, b = (e.where(F.col("event_type") == k).select(F.col("user_id").alias("p")).distinct() for k in ("error", "purchase"))
+    parts = [sketches.combine(a, b, op).select(F.lit(op).alias("op"), "p") for op in ("and", "or", "xor", "andnot")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query("SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 90)")
+def bloom_semi(spark, d):
+    e = read(spark, d, "events")
+    return sketches.bloom_semi_join(e, e.where("event_type = 'signup' AND value > 90").select("user_id"), "user_id").select("event_id")
+
+
+@query("SELECT conv_id AS namespace, count(*) AS n, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id")
+def namespace_scope(spark, d):
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("namespace"), "turn", "role")
+    return c.groupBy("namespace").agg(F.count(F.lit(1)).alias("n"), F.max_by("role", "turn").alias("last_role"))
+
+
+@query(_LATEST)
+def stream_lww_equals_batch(spark, d):
+    """The log read as a stream to its end: the facts are those of the batch."""
+    events = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    arrival = (F.col("event_id") * 7919 % 10007) * 1099511627776 + F.col("event_id")
+    log = events.select(F.col("user_id").alias("entity"), F.col("event_type").alias("component"), "value", hlc(millis(), F.col("event_id"), F.lit(1)).alias("hlc"), arrival.alias("seq"))
+    name = f"facts_{uuid.uuid4().hex}"
+    where = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/{name}"
+    facts(log, ["entity", "component"]).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
+    return _flat(spark.table(name))
+
+
