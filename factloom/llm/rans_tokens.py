@@ -166,7 +166,7 @@ def _encoder(version: str, spec, end_id: int):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec.value)
-        memo = Memo(lambda parts: [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+        memo = Memo(lambda parts: [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)], most=600_000)
         _READY.clear()
         _READY[version] = lambda text: b"".join(memo(words(text)))
     return _READY[version]
