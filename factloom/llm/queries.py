@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroid_language, exact_dedup, jaccard_regions, latent_leaks, pairwise_quality, rans_tokens, token_counts, url_rules, weak_toxicity
+from . import bpe, centroid_language, exact_dedup, jaccard_regions, latent_leaks, oracles, pairwise_quality, rans_tokens, token_counts, url_rules, weak_toxicity
 from .common import fresh_path, held_out, table
 
 
@@ -65,8 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_rans_tokens, op3_exact_dedup, op4_pairwise_quality, op5_jaccard_regions, op6_url_rules, op7_centroid_language, op8_latent_leaks, op9_weak_toxicity, op10_bpe)}
 
 ORACLES = {
-    "op3_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op3_exact_dedup": oracles.EXACT_DEDUP,
+    "op5_jaccard_regions": oracles.JACCARD_COMPONENTS,
+    "op6_url_rules": oracles.url_rules([tuple(r) for r in URL_RULES]),
 }
