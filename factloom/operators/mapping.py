@@ -43,3 +43,8 @@ def untagged(text: str, variants: dict[str, str]) -> Column:
         field = ddl.split()[0]
         out = F.when(parsed[field].isNotNull(), F.struct(F.lit(name).alias("variant"), F.to_json(parsed).alias("value"))).otherwise(out)
     return out
+
+
+def entities(mapped: DataFrame, source_entity: int, key: Column | None = None) -> DataFrame:
+    """Which entity a mapped row is about: the source's own, or, for dynamic sources, one for each key."""
+    return mapped.withColumn("entity", F.lit(source_entity).cast("string") if key is None else F.coalesce(key.cast("string"), F.lit(source_entity).cast("string")))

@@ -52,3 +52,9 @@ def bloom_semi_join(rows: DataFrame, keys: DataFrame, key: str, *, size: int = 1
 def bloom_bits(keys: DataFrame, key: str, *, size: int = 1 << 16, hashes: int = 2) -> DataFrame:
     """The bit positions that a Bloom filter of ``keys`` sets."""
     return reduce(DataFrame.union, (keys.select(p.alias("bit")) for p in _places(key, size, hashes))).distinct()
+
+
+def set_ranges(ranges: DataFrame, first: str, last: str, size: int) -> DataFrame:
+    """The positions that inclusive ranges set in a map of ``size`` bits; what lies outside is ignored."""
+    low, high = F.greatest(F.col(first), F.lit(0)), F.least(F.col(last), F.lit(size - 1))
+    return ranges.where((F.col(first) <= F.col(last)) & (low <= high)).select(F.explode(F.sequence(low.cast("long"), high.cast("long"))).alias("p")).distinct()

@@ -459,3 +459,15 @@ def stream_lww_equals_batch(spark, d):
     return _flat(spark.table(name))
 
 
+@query("SELECT DISTINCT unnest(range(greatest(event_id % 300 - 20, 0), least(event_id % 300 - 20 + 3, 255) + 1)) AS p FROM events WHERE event_type = 'error' AND event_id % 300 - 20 <= 255")
+def bitmap_ranges(spark, d):
+    e = read(spark, d, "events").where("event_type = 'error'").select((F.col("event_id") % 300 - 20).alias("a"))
+    return sketches.set_ranges(e.withColumn("b", F.col("a") + 3), "a", "b", 256)
+
+
+@query("SELECT user_id::VARCHAR AS entity, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY ALL")
+def dynamic_entities(spark, d):
+    """One entity for each key of the payload, rather than one for the source."""
+    payloads = read(spark, d, "events").select("user_id", F.col("props").alias("payload"))
+    mapped = mapping.fan_out(payloads, {"counter": mapping.json_mapper("k bigint", ["k"])})
+    return mapping.entities(mapped, 0, F.col("user_id")).groupBy("entity", F.get_json_object("value", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))

@@ -117,3 +117,20 @@ def test_alert_sink(spark):
 
     alerts = spark.createDataFrame([(1, "low"), (2, "low")], "alert_id long, text string")
     assert {r.alert_id: r.status for r in streams.post_alerts(alerts, send).collect()} == {"1": 201, "2": 0}
+
+
+def test_keyed_state(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ddl = "entity long, component string, value double, wall long, logical long, seq long"
+    rows = [(k % 3, "c", float(k), [100 - k, 100 + k][k % 2], 0, k) for k in range(30)]
+    log = spark.createDataFrame(rows, ddl)
+    log.where("seq < 15").coalesce(1).write.parquet(str(tmp_path / "log"))
+    log.where("seq >= 15").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    q = streams.accepted_stream(stream).writeStream.format("memory").queryName("keyed_test").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [(r.entity, r.value, r.wall) for r in spark.table("keyed_test").collect()]
+    for entity in range(3):  # what is accepted only rises, and ends at the fact
+        walls = [w for e, _, w in got if e == entity]
+        best = max(r[3] for r in rows if r[0] == entity)
+        assert walls == sorted(set(walls)) and walls[-1] == best
