@@ -41,10 +41,11 @@ class Lexicon(NamedTuple):
     words: dict[str, int]  # entry -> voter
     stems: dict[str, int]
     size: int
+    strong: int  # how many of the first entries are strong
 
     @classmethod
-    def of(cls, found: list[str]) -> Lexicon:
-        return cls({e: i for i, e in enumerate(found) if e[-1] != "*"}, {e[:-1]: i for i, e in enumerate(found) if e[-1] == "*"}, len(found))
+    def of(cls, found: list[str], strong: int) -> Lexicon:
+        return cls({e: i for i, e in enumerate(found) if e[-1] != "*"}, {e[:-1]: i for i, e in enumerate(found) if e[-1] == "*"}, len(found), strong)
 
     def hits(self, text: str) -> tuple[np.ndarray, int, int]:
         """Occurrences of each entry, of any entry, and words, in the whole text."""
@@ -74,13 +75,16 @@ class Model(NamedTuple):
 
 
 def describe(lexicon: Lexicon, text: str) -> np.ndarray:
-    """The classifier's input: an indicator for each entry, three of all entries together, a constant."""
+    """The classifier's input: an indicator for each entry, four of all entries together, a constant."""
     hits, total, words = lexicon.hits(text)
-    return np.concatenate((hits > 0, [np.log1p(total), min(1.0, 20 * total / max(words, 1)), np.log1p((hits > 0).sum()), 1.0]))
+    return np.concatenate((hits > 0, [hits[: lexicon.strong].any(), total > 1, np.log1p(total), min(1.0, 20 * total / max(words, 1)), 1.0]))
 
 
-def mine(rows: DataFrame, *, most: int = 256, odds: float = 3.0) -> list[str]:
-    """Lexicon entries that are far commoner in rows labelled 1: counted over the whole sample, ``most`` at most."""
+def mine(rows: DataFrame, *, most: int = 256, odds: float = 3.0, least: float = 20.0, sure: float = 0.99) -> list[tuple[str, bool]]:
+    """Lexicon entries that are far commoner in rows labelled 1 than chance explains: counted over the whole sample, ``most`` at most.
+
+    With each, whether it is strong: hardly ever in a clean row.
+    """
 
     def run(batches):
         yes, no, n = Counter(), Counter(), [0, 0]
@@ -110,8 +114,14 @@ def mine(rows: DataFrame, *, most: int = 256, odds: float = 3.0) -> list[str]:
     full = {r["entry"]: (r["yes"], r["no"]) for r in rows.mapInArrow(again, "entry string, yes long, no long").groupBy("entry").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()}
     toxic, clean = full.pop(None, (0, 0))
     ratio = {e: np.log((y + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (clean + 1)) for e, (y, n) in full.items() if y >= max(3, 0.02 * toxic)}
-    good = sorted((e for e, r in ratio.items() if r >= odds), key=lambda e: (-ratio[e] * np.log1p(full[e][0]), e))
-    return good[:most]
+
+    def surprise(yes: int, no: int) -> float:
+        """The likelihood ratio statistic: how little chance explains so many toxic rows of those with the entry."""
+        share = toxic / (toxic + clean)
+        return 2 * (yes * np.log(yes / ((yes + no) * share)) + (no * np.log(no / ((yes + no) * (1 - share))) if no else 0.0))
+
+    good = sorted((e for e, r in ratio.items() if r >= odds and clean and surprise(*full[e]) >= least), key=lambda e: (-ratio[e] * np.log1p(full[e][0]), e))
+    return [(e, full[e][0] >= sure * sum(full[e])) for e in good[:most]]
 
 
 def label_model(votes: np.ndarray, steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
@@ -148,8 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, most: int = 20_000
     labelled rows the lexicon is the fixed list alone.
     """
     rows = sample(docs, labels, "toxic", learn, most)
-    found = list(dict.fromkeys([*INSULTS, *mine(rows, most=entries_most - len(INSULTS))]))
-    lexicon = Lexicon.of(found)
+    mined = mine(rows, most=entries_most - len(INSULTS))
+    strong = list(dict.fromkeys([*INSULTS, *(e for e, sure in mined if sure)]))
+    found = list(dict.fromkeys([*strong, *(e for e, _ in mined)]))
+    lexicon = Lexicon.of(found, len(strong))
 
     def run(batches):
         for batch in batches:
@@ -157,16 +169,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, most: int = 20_000
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary())], ["x"])
 
     got = sorted(bytes(r["x"]) for r in rows.select("text").mapInArrow(run, "x binary").collect())
-    k = len(found) + 4
+    k = len(found) + 5
     if not got:
         weights = np.zeros(k)
-        weights[-2], weights[-1] = 4.0, -2.0  # some insult
+        weights[-5], weights[-1] = 4.0, -2.0  # some insult
         return Model(lexicon, weights, np.zeros((0, 2)))
     x = np.frombuffer(b"".join(got), np.float32).reshape(-1, k).astype(float)
-    indicator, together = x[:, : len(found)], x[:, -2]
-    several = np.where(together >= np.log(3), 1, np.where(together == 0, 0, -1))
-    dense = np.where(x[:, -3] >= 0.2, 1, np.where(x[:, -3] == 0, 0, -1))
-    votes = np.column_stack([np.where(indicator > 0, 1, -1), np.where(together > 0, 1, 0), several, dense]).astype(np.int8)
+    indicator, (sure, several, total, share) = x[:, : len(strong)], x[:, len(found) : -1].T
+    # strong entries, and patterns of all: a strong one, several words, a share of the text; a lone weak entry is no vote
+    patterns = [np.where(some, 1, np.where(total == 0, 0, -1)) for some in (sure > 0, several > 0, share >= 0.2)]
+    votes = np.column_stack([np.where(indicator > 0, 1, -1), *patterns]).astype(np.int8)
     posterior, accuracy = label_model(votes)
     return Model(lexicon, logistic(x, posterior, penalty=0.3), accuracy)
 
