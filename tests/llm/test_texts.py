@@ -247,6 +247,22 @@ def test_latent_leaks_find_paraphrases(spark):
     assert latent_leaks.find_leaks(table(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_latent_leaks_find_long_items(spark):
+    """A third of the words changed, in items of up to 1,000 words."""
+    draw = random.Random(10)
+    vocabulary = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(20_000)]
+    say = lambda n: [draw.choice(vocabulary) for _ in range(n)]
+    items = [(k, say(n)) for k, n in enumerate((20, 60, 100, 150, 200, 300, 400, 500, 700, 1000))]
+    texts, want = [" ".join(say(3000)), "short"], set()
+    for k, item in items:
+        for shift in (0, 7, 150):
+            changed = [draw.choice(vocabulary) if j % 3 == 1 else w for j, w in enumerate(item)]
+            want.add((len(texts), k))
+            texts += [" ".join(say(shift) + changed + say(100)), " ".join(say(5))]
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in latent_leaks.find_leaks(table(spark, texts), bench).collect()} == want
+
+
 def labels(spark, rows):
     return spark.createDataFrame([(i, q, t) for i, q, t in rows], "doc_id long, quality int, toxic int")
 
