@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def send(ticks: DataFrame, node: str = "node") -> DataFrame:
     """Timestamps of sends (node, seq, now): ``wall`` and ``logical``, as if each node took its rows by ``seq``.
@@ -27,20 +29,22 @@ def send_after(ticks: DataFrame, seeds: DataFrame, node: str = "node") -> DataFr
 def receive(messages: DataFrame, node: str = "node") -> DataFrame:
     """Each node's clock after all its messages (node, seq, now, remote_wall, remote_logical), taken by ``seq``.
 
-    A fold over the ordered messages of a node: sequential by nature, parallel over nodes.
+    The wall is the largest of all.  From the first message with it on, the logical part goes up by one with
+    each message, or to one more than a remote's at this wall: it is the largest start of these plus the messages
+    that follow.  So all is maxima over numbered messages, which Spark combines before the shuffle.
     """
-
-    def step(acc, m):
-        top = F.greatest(m["now"], acc["wall"], m["remote_wall"])
-        own, other = top == acc["wall"], top == m["remote_wall"]
-        logical = (
-            F.when(own & other, F.greatest(acc["logical"], m["remote_logical"]) + 1)
-            .when(own, acc["logical"] + 1)
-            .when(other, m["remote_logical"] + 1)
-            .otherwise(F.lit(0).cast("long"))
-        )
-        return F.struct(top.alias("wall"), logical.alias("logical"))
-
-    start = F.struct(F.lit(0).cast("long").alias("wall"), F.lit(0).cast("long").alias("logical"))
-    ordered = F.array_sort(F.collect_list(F.struct("seq", *(F.col(c).cast("long").alias(c) for c in ("now", "remote_wall", "remote_logical")))))
-    return messages.groupBy(node).agg(F.aggregate(ordered, start, step).alias("clock")).select(node, "clock.*")
+    columns = ("now", "remote_wall", "remote_logical")
+    rows = numbered(messages.select(node, "seq", *(F.col(c).cast("long").alias(c) for c in columns)), node, "seq", *columns, name="__n", start=1)
+    highest = F.greatest("now", "remote_wall")
+    found = rows.groupBy(node).agg(
+        F.max(F.struct(highest.alias("wall"), (-F.col("__n")).alias("before"), "remote_wall")).alias("top"),
+        F.max(F.struct("remote_wall", (F.col("remote_logical") + 1 - F.col("__n")).alias("start"))).alias("remote"),
+        F.min("__n").alias("first"),
+        F.max("__n").alias("last"),
+    )
+    wall = F.greatest(F.col("top.wall"), F.lit(0).cast("long"))
+    start = F.greatest(
+        F.when(F.col("remote.remote_wall") == wall, F.col("remote.start")),
+        F.when(wall == 0, 1 - F.col("first")).when(~F.col("top.remote_wall").eqNullSafe(wall), F.col("top.before")),
+    )
+    return found.select(node, wall.alias("wall"), (F.col("last") + start).alias("logical"))

@@ -82,6 +82,42 @@ def test_clock_receives(spark):
     assert {r.node: (r.wall, r.logical) for r in clock.receive(df).collect()} == want
 
 
+@pytest.mark.parametrize(("low", "high"), [(1, 6), (-3, 1), (0, 3)])
+def test_clock_receives_without_arrays(spark, low, high):
+    draw = random.Random(high)
+    rows, want = [], {}
+    for node in range(60):
+        wall = logical = 0
+        for seq in range(draw.randint(1, 9)):
+            now, rw, rl = draw.randint(low, high), draw.randint(low, high), draw.randrange(5)
+            top = max(now, wall, rw)
+            logical = max(logical, rl) + 1 if top == wall == rw else logical + 1 if top == wall else rl + 1 if top == rw else 0
+            wall = top
+            rows.append((node, seq, now, rw, rl))
+        want[node] = (wall, logical)
+    got = clock.receive(spark.createDataFrame(rows, "node long, seq long, now long, remote_wall long, remote_logical long").repartition(3))
+    assert {r.node: (r.wall, r.logical) for r in got.collect()} == want
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("capacity", [0, 1, 2, 8, 300])
+def test_queue_in_ranges(spark, capacity):
+    """One key with more operations than a range, others with few; no array has a key's whole history."""
+    draw = random.Random(capacity)
+    rows, want = [], {}
+    for key, n in enumerate([20_000, *(draw.randint(1, 20) for _ in range(40))]):
+        size = refused = empty = 0
+        for seq in range(n):
+            push = draw.random() < (0.7 if seq // 3000 % 2 else 0.4)
+            full, none = push and size >= capacity, not push and size == 0
+            refused, empty, size = refused + full, empty + none, size if full or none else size + (1 if push else -1)
+            rows.append((key, seq, "push" if push else "pop"))
+        want[key] = (size, refused, empty)
+    got = pending.queue_fold(spark.createDataFrame(rows, "entity long, seq long, op string").repartition(3), capacity)
+    assert {r.entity: (r.size, r.refused, r.empty) for r in got.collect()} == want
+    assert "shiftright(__n" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_numbered(spark):
     rows = [(k * 37 % 101,) for k in range(101)]
     got = ordering.numbered(spark.createDataFrame(rows, "v long"), "v").collect()
