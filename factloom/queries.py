@@ -16,7 +16,7 @@ from .operators import table as tables
 from .plans import cascade, graph
 from .plans.registry import Registry
 from .sources.registry import conflate
-from .streaming.facts import facts
+from .streaming.facts import facts_at_end
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -453,10 +453,8 @@ def stream_lww_equals_batch(spark, d):
     events = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     arrival = (F.col("event_id") * 7919 % 10007) * 1099511627776 + F.col("event_id")
     log = events.select(F.col("user_id").alias("entity"), F.col("event_type").alias("component"), "value", hlc(millis(), F.col("event_id"), F.lit(1)).alias("hlc"), arrival.alias("seq"))
-    name = f"facts_{uuid.uuid4().hex}"
-    where = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/{name}"
-    facts(log, ["entity", "component"]).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
-    return _flat(spark.table(name))
+    where = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/facts_{uuid.uuid4().hex}"
+    return _flat(facts_at_end(log, ["entity", "component"], where))
 
 
 @query("SELECT DISTINCT unnest(range(greatest(event_id % 300 - 20, 0), least(event_id % 300 - 20 + 3, 255) + 1)) AS p FROM events WHERE event_type = 'error' AND event_id % 300 - 20 <= 255")

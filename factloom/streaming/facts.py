@@ -66,6 +66,23 @@ def commit_batches(stream: DataFrame, checkpoint: str, target: str, derive: Call
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def facts_at_end(stream: DataFrame, keys: list[str], where: str) -> DataFrame:
+    """Current facts of a log read as a stream to its end: the folder that the last batch has written under ``where``.
+
+    Every batch writes all facts, from the executors; the driver only learns the batch's number.
+    """
+    batches = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/facts/batch={batch_id}")
+        batches.append(batch_id)
+
+    current = facts(stream, keys)
+    current.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(current.schema).parquet(f"{where}/facts/batch={batches[-1]}") if batches else spark.createDataFrame([], current.schema)
+
+
 def post_alerts(alerts: DataFrame, send: Callable[[str, str], int], key: str = "alert_id") -> DataFrame:
     """Hand each alert to ``send(idempotency key, JSON)``, a client run on the executors; its status, 0 if it failed."""
 

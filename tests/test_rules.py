@@ -109,6 +109,20 @@ def test_stream_facts(spark, tmp_path):
     assert {(r.entity, r.value) for r in spark.table("facts_test").collect()} == want
 
 
+def test_stream_facts_are_no_driver_table(spark, tmp_path):
+    """The result is read from files of the executors, not from rows that the driver holds."""
+    ddl = "event_id long, user_id long, event_type string, value double, ts timestamp"
+    events = spark.range(60).selectExpr("id AS event_id", "id % 5 AS user_id", "'c' AS event_type", "double(id) AS value", "timestamp_seconds(1700000000 + id * 37 % 60) AS ts")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.stream_lww_equals_batch(spark, str(tmp_path))
+    assert got.inputFiles()
+    want = queries.lww_latest(spark, str(tmp_path)).collect()
+    assert len(want) == 5 and sorted(got.select(*want[0].asDict()).collect()) == sorted(want)
+    stream = spark.readStream.schema(f"{ddl}, entity long, seq long, hlc struct<wall: long>").parquet(str(tmp_path / "none*"))
+    (tmp_path / "none").mkdir()
+    assert streams.facts_at_end(stream, ["entity"], str(tmp_path / "at")).count() == 0
+
+
 def test_alert_sink(spark):
     def send(key, text):
         if key == "2":
