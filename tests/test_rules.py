@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom import queries
 from factloom.operators import lww
-from factloom.plans import cascade
+from factloom.plans import cascade, graph
 from factloom.plans.registry import Registry
 from factloom.sources.frames import FrameSource
 from factloom.sources.registry import UnknownSource, conflate, options_for, route
@@ -45,6 +45,17 @@ def test_cycles_and_depth(spark):
     assert back and r.edges() == [("S::a", "S::b"), ("S::b", "S::a")]
 
 
+def test_long_paths(spark):
+    """A chain of 20 nodes and a cycle of 18: both are longer than 16 links."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(19)] + [(100 + k, 100 + (k + 1) % 18) for k in range(18)], "src long, dst long")
+    want = {(a, b, b - a) for a in range(20) for b in range(a + 1, 20)} | {(100 + a, 100 + b, (b - a - 1) % 18 + 1) for a in range(18) for b in range(18)}
+    pairs = graph.reachable(spark, links).collect()
+    assert {tuple(r) for r in pairs} == want and len(pairs) == len(want)
+    assert {tuple(r) for r in graph.on_cycles(spark, links).collect()} == {(100 + k, 18) for k in range(18)}
+    with pytest.raises(graph.MostRoundsExceeded):
+        graph.reachable(spark, links, most_rounds=3)
+
+
 def test_registry(spark):
     r = Registry()
     r.source("orders", {"status": "s string", "total": "t bigint"})
