@@ -23,8 +23,17 @@ def replay(log: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
-    """Write the current facts of a log to ``target``: what replaces the log as a start."""
-    latest(spark.read.parquet(path).where("kind = 'put'"), KEYS).write.mode("errorifexists").parquet(target)
+    """Write to ``target`` a log that replaces that of ``path``: ``replay`` gives the same of both.
+
+    It has the puts of the current facts, with an acknowledgement if they do not wait, and the puts that wait.
+    """
+    log = spark.read.parquet(path)
+    puts = log.where("kind = 'put'")
+    waiting = replay(log)[1].select(*log.columns)
+    current = latest(puts, KEYS, tuple(c for c in log.columns if c not in (*KEYS, "hlc"))).select(*log.columns)
+    settled = current.join(waiting.select("seq"), "seq", "left_anti").select(*log.columns)
+    acks = settled.withColumns({"kind": F.lit("ack"), "acks": F.col("seq")})
+    waiting.unionByName(settled).unionByName(acks).write.mode("errorifexists").partitionBy("namespace").parquet(target)
 
 
 def within_limits(log: DataFrame, *, record: int = 16 << 20, field: int = 8 << 20) -> DataFrame:
