@@ -263,6 +263,23 @@ def test_latent_leaks_find_long_items(spark):
     assert {(r.doc_id, r.item_id) for r in latent_leaks.find_leaks(table(spark, texts), bench).collect()} == want
 
 
+def test_latent_leaks_of_a_full_block(spark):
+    """512 items and a rank of 320, so the space of the items is cut."""
+    draw = random.Random(12)
+    vocabulary = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(6000)]
+    say = lambda n: [draw.choice(vocabulary) for _ in range(n)]
+    items = [(k, say(draw.randint(15, 60))) for k in range(512)]
+    texts, want = [], set()
+    for k, item in items:
+        changed = [draw.choice(vocabulary) if j % 5 == 1 else w for j, w in enumerate(item)]
+        want.add((len(texts), k))
+        texts += [" ".join(say(draw.randrange(80)) + changed + say(60)), " ".join(say(100))]
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in latent_leaks.find_leaks(table(spark, texts), bench).collect()}
+    print("recall", len(found & want) / len(want), "others", len(found - want))
+    assert len(found & want) >= 0.98 * len(want) and found <= want
+
+
 def labels(spark, rows):
     return spark.createDataFrame([(i, q, t) for i, q, t in rows], "doc_id long, quality int, toxic int")
 
