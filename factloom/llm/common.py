@@ -38,6 +38,27 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``stage`` wrote, when what was made of them has been written."""
+    for df in tables:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        base = shared_dir(spark)
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if base.rpartition(":")[2].rstrip("/") in folder:  # nothing but what lies in the shared folder
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, or longer ones where ``df`` has such a column (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while any(t.startswith(name) for t in taken):
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def body(column: str | Column = "text") -> Column:
     """The text of a row; null counts as empty."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))

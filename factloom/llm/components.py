@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop, stage
 
 
 def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
         large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
         down = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(down, "src").select(F.explode(F.array(F.struct("src", F.col("m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))).alias("e")).select("e.*").where("src <> dst").distinct()
-        links = stage(small, "links")
+        before, links = links, stage(small, "links")
+        drop(before)
     else:
         raise RuntimeError(f"links did not settle within {most_rounds} rounds")
     ends = links.select(F.col("src").alias("node"), F.col("dst").alias("component"))

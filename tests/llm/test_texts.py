@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from factloom.llm import bpe, centroid_language, chunks, exact_dedup, jaccard_regions, latent_leaks, pairwise_quality, rans_tokens, token_counts, weak_toxicity
+from factloom.llm import bpe, centroid_language, chunks, exact_dedup, latent_leaks, pairwise_quality, rans_tokens, token_counts, weak_toxicity
 from factloom.llm.common import fresh_path
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -155,67 +155,6 @@ def test_exact_dedup(spark, keep):
     assert exact_dedup.exact_dedup(table(spark, [])).count() == 0
 
 
-def brute_components(texts, words, percent):
-    sets = []
-    for t in texts:
-        w = (t or "").encode().translate(jaccard_regions._LOWER).split()
-        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
-    parent = list(range(len(texts)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(sets)):
-        for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
-    return [(len(s), root(i)) for i, s in enumerate(sets)]
-
-
-def near_texts(seed, n=60):
-    draw = random.Random(seed)
-    vocabulary = [f"w{k}" for k in range(60)]
-    common = " ".join(draw.choice(vocabulary) for _ in range(40))
-    out = []
-    for _ in range(n):
-        if out and draw.random() < 0.7:
-            words = draw.choice(out).split()
-            for _ in range(draw.randint(0, 3)):
-                words[draw.randrange(len(words))] = draw.choice(vocabulary)
-            out.append(" ".join(words))
-        else:
-            own = " ".join(draw.choice(vocabulary) for _ in range(draw.randint(3, 70)))
-            out.append(own + (" " + common if draw.random() < 0.5 else ""))
-    return [*out, "", None, "  ", "One two", "one\tTWO", "one two three"]
-
-
-@pytest.mark.parametrize(("seed", "words", "percent", "large"), [(1, 4, 85, 100), (2, 5, 80, 3)])
-def test_near_duplicates_against_all_pairs(spark, seed, words, percent, large):
-    texts = near_texts(seed)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_regions.near_duplicates(table(spark, texts), words=words, percent=percent, large=large).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_components(texts, words, percent)
-
-
-def test_near_duplicates_of_odd_rows(spark):
-    texts = ["a b c d e f", "a b c d e f", "a b c d e f", None]
-    got = jaccard_regions.near_duplicates(table(spark, texts, [5, 5, None, None])).collect()
-    assert sorted(str(r.component_id) for r in got) == ["5", "5", "5", "None"]
-    assert jaccard_regions.near_duplicates(table(spark, [])).count() == 0
-
-
-def test_window_holds_a_common_pivot():
-    draw = np.random.default_rng(0)
-    for n in (1, 2, 7, 20, 100):
-        for percent in (80, 85):
-            x = np.arange(n)
-            foreign = n - -(-percent * n // 100)
-            y = np.concatenate((draw.permutation(x)[foreign:], 1000 + np.arange(0)))
-            assert set(x[: jaccard_regions._window(n, percent)]) & set(y)
-
-
 def test_common_subsequence():
     draw = random.Random(4)
     for _ in range(200):
