@@ -49,7 +49,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h * _A, begin
 
 
-def _rows(h: np.ndarray, k: int) -> np.ndarray:
+def runs(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the runs of k words."""
     n = len(h) - k + 1
     x = np.full(n, k, np.uint64)
@@ -68,10 +68,10 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 
 def _sets(h: np.ndarray, counts: list[int], k: int) -> Iterator[np.ndarray]:
     """The set of each of the consecutive texts of so many words."""
-    runs = _rows(h, k) if len(h) >= k else h[:0]
+    all_runs = runs(h, k) if len(h) >= k else h[:0]
     at = 0
     for n in counts:
-        yield _distinct(runs[at : at + n - k + 1].copy() if n >= k else _rows(h[at : at + n], n) if n else h[:0].copy())
+        yield _distinct(all_runs[at : at + n - k + 1].copy() if n >= k else runs(h[at : at + n], n) if n else h[:0].copy())
         at += n
 
 
