@@ -51,17 +51,46 @@ class Memo:
 
     def __call__(self, pieces: list[str]) -> list[Any]:
         known = self.known
-        if missing := set(pieces).difference(known):
-            if len(known) > self.most:
-                self.before, self.known = known, (known := {})
-                missing = set(pieces)
-            before = self.before
-            known.update([(p, before[p]) for p in missing if p in before])
-            new = list(missing.difference(known))
-            known.update(zip(new, self.encode_all(new), strict=True))
-            out = [known[p] for p in pieces]
-            for piece in new:
-                if len(piece) > self.longest:
-                    del known[piece]
+        out = list(map(known.get, pieces))
+        if None not in out:
             return out
-        return [known[p] for p in pieces]
+        missing = {p for p, v in zip(pieces, out, strict=True) if v is None}
+        if len(known) > self.most:
+            self.before, self.known = known, (known := {})
+            missing = set(pieces)
+        if before := self.before:
+            known.update([(p, before[p]) for p in missing if p in before])
+        new = [p for p in missing if p not in known]
+        known.update(zip(new, self.encode_all(new), strict=True))
+        out = [known[p] for p in pieces]
+        for piece in new:
+            if len(piece) > self.longest:
+                del known[piece]
+        return out
+
+
+class Chunks:
+    """Text -> the values of its chunks (what stands between white space), for tokenizers that lower-case and drop white space.
+
+    A chunk's value is ``join`` of those of its pieces; ``encode_all`` gives the pieces' values,
+    each piece being one word of the pre-tokenizer.  Chunks of texts that this module's pattern
+    does not cover go to ``encode_whole``, one by one.
+    """
+
+    def __init__(self, encode_all: Callable[[list[str]], Iterable[Any]], encode_whole: Callable[[str], Any], join: Callable[[list[Any]], Any], most: int = 500_000):
+        self.pieces, self.join = Memo(encode_all, most), join
+        self.chunks = Memo(self._chunks, most // 2)
+        self.others = Memo(lambda chunks: map(encode_whole, chunks), most // 8)
+
+    def _chunks(self, chunks: list[str]) -> Iterable[Any]:
+        cut = list(map(_WORD.findall, chunks))
+        values, a, join = self.pieces([p for pieces in cut for p in pieces]), 0, self.join
+        for pieces in cut:
+            n = len(pieces)
+            yield values[a] if n == 1 else join(values[a : a + n])
+            a += n
+
+    def __call__(self, text: str) -> list[Any]:
+        if "<|" in text or _FAR.search(text):
+            return self.others([w for w in _SPACES.split(text) if w])
+        return self.chunks(text.lower().split())

@@ -15,10 +15,10 @@ words of the stream; u32 crc32 of all before.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import Memo, words
+from .chunks import Chunks
 from .common import fresh_path, id_and_text, stage
 
 LANES, STRIDE, BITS = 1024, 256, 20
@@ -162,14 +162,35 @@ _READY: dict[str, object] = {}
 
 
 def _encoder(version: str, spec, end_id: int):
+    """Text -> its ids as bytes, made once for a worker.
+
+    Words that are not remembered go to the library as one text; their ids are told apart by the
+    symbols that end a word.
+    """
     if version not in _READY:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec.value)
-        memo = Memo(lambda parts: [array("H", e.ids).tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)], most=600_000)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        model = json.loads(spec.value)["model"]
+        final = np.zeros(65536, bool)
+        final[[i for s, i in model["vocab"].items() if (suffix := model.get("end_of_word_suffix")) and s.endswith(suffix)]] = True
+
+        def encode(text: str) -> bytes:
+            return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2").tobytes()
+
+        def encode_all(pieces: list[str]) -> list[bytes]:
+            data = encode(" ".join(pieces))
+            ends = (2 * np.flatnonzero(final[np.frombuffer(data, "<u2")]) + 2).tolist()
+            if len(ends) != len(pieces):  # a tokenizer without such symbols
+                return list(map(encode, pieces))
+            return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+        memo = Chunks(encode_all, encode, b"".join)
         _READY.clear()
-        _READY[version] = lambda text: b"".join(memo(words(text)))
+        _READY[version] = lambda text: b"".join(memo(text))
     return _READY[version]
 
 
@@ -212,7 +233,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int, vocabulary
     ``path/blocks`` has rows (part, block, n_ids, payload) and ``path/table`` the shared counts
     (id, n).  Parts are consecutive ranges of doc_id.  Null text counts as empty and has only
     the end id; null doc_ids count as the smallest long and come first; repeated rows are all
-    written; an empty table gives no block.
+    written, rows of one id in the order of a hash of their ids; a very long text is one document
+    of one block, which then is as long; an empty table gives no block; other columns are ignored.
     """
     tokens = stage(tokenize(docs, tokenizer, end_id).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "ids"), "token-ids")
     counts = frequencies(tokens, vocabulary)
@@ -241,7 +263,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int, vocabulary
         if docs_in:
             yield done()
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    # many rows without an id, or with the same one, are told apart by a hash and fill several ranges
+    keyed = tokens.withColumn("tie", F.xxhash64("ids"))
+    ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids", F.spark_partition_id().alias("part"))
     ordered.mapInArrow(run, "part int, block int, n_ids long, payload binary").write.parquet(f"{path}/blocks")
 
 
@@ -257,9 +281,9 @@ def read(spark, path: str, vocabulary: int = 65536) -> DataFrame:
     shared = spark.sparkContext.broadcast(counts)
     blocks = spark.read.schema("part int, block int, n_ids long, payload binary").parquet(f"{path}/blocks")
     sizes = blocks.select("part", "block", "n_ids")
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()  # a row for each written range
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"), F.count(F.lit(1)).alias("blocks")).collect()  # a row for each written range
     before, base = 0, {}
-    for part, n in sorted(parts):
+    for part, n, _ in sorted(parts):
         base[part], before = before, before + n
     inner = sizes.withColumn("inner", F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "block", "inner")
 
@@ -273,7 +297,8 @@ def read(spark, path: str, vocabulary: int = 65536) -> DataFrame:
                     at += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    found = blocks.join(F.broadcast(inner), ["part", "block"]) if len(parts) < 10_000 else blocks.join(inner, ["part", "block"])
+    few = sum(p["blocks"] for p in parts) <= 100_000  # 2 MB; beyond that a shuffled join
+    found = blocks.join(F.broadcast(inner) if few else inner, ["part", "block"])
     out = found.select("part", "inner", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
 
