@@ -10,7 +10,7 @@ import hashlib
 import os
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -71,6 +71,8 @@ def _kind(path: str, spec: bytes) -> str:
     if path.endswith(".model"):
         return "model"
     data = json.loads(spec)
+    if any("<|" not in t["content"] for t in data.get("added_tokens") or []):
+        return "whole"  # chunks.py leaves only texts with that sign uncut
     pre = data.get("pre_tokenizer") or {}
     if pre == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": pre.get("trim_offsets"), "use_regex": True} and not data["normalizer"]:
         return "byte"
@@ -84,8 +86,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, limit: int = 51
     ``tokenizer`` is a file of the tokenizers library (.json) or of sentencepiece (.model),
     ``cache`` the folder of the stored counts, shared by all executors; it is appended to.
     Null text counts as empty.  Null ids and repeated rows pass through (equal texts are encoded
-    once), an empty table gives no rows, other columns are ignored.  Counts are of plain text:
-    no special tokens are added, nothing is cut off or padded.
+    and stored once, whatever their ids), very long texts are counted whole, an empty table gives
+    no rows, other columns are ignored.  Counts are of plain text: no special tokens are added,
+    nothing is cut off or padded.
     """
     spark = docs.sparkSession
     with open(tokenizer, "rb") as file:
@@ -94,8 +97,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, limit: int = 51
     spec = spark.sparkContext.broadcast(content)
     rows = id_and_text(docs).select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
     stored = read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest")
-    one = rows.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("at")).join(stored, "digest", "left_anti")
-    missing = rows.withColumn("at", F.coalesce("doc_id", F.lit(-1))).join(one.hint("shuffle_hash"), ["at", "digest"], "left_semi").select("digest", "text")
+    # the first row of each digest: each task leaves one of its own before anything is shuffled
+    place = F.row_number().over(Window.partitionBy("digest").orderBy("doc_id"))
+    one = rows.withColumn("place", place).where("place = 1").select("digest", "text")
+    missing = one.join(stored, "digest", "left_anti")
 
     def run(batches):
         count = _counter(version, spec, kind)
