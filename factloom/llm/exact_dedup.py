@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stage
+from .common import body, id_and_text, stage, unused
 
 
 def exact_dedup(docs: DataFrame, *, keep: str = "largest", salts: int = 64, hot_texts: int = 2000, least_hot: int = 100) -> DataFrame:
@@ -24,7 +24,8 @@ def exact_dedup(docs: DataFrame, *, keep: str = "largest", salts: int = 64, hot_
     smallest) doc_id stays.  Null text counts as empty.  Rows repeated with the same doc_id are
     rows of the group like any others; exactly one row of each group has kept = true.  A null
     doc_id loses against any other; a group with nulls only keeps one of them and its keep_id
-    is null.  An empty table gives no rows; other columns are ignored.
+    is null.  Very long texts are sorted and compared whole.  An empty table gives no rows; other
+    columns are ignored.
 
     A text is hot with more than max(least_hot, rows / hot_texts) rows, so there are at most
     ``hot_texts`` hot texts and ``hot_texts * salts`` runs of them: that bounds both broadcasts.
@@ -61,3 +62,17 @@ def exact_dedup(docs: DataFrame, *, keep: str = "largest", salts: int = 64, hot_
         ((F.col("place") == 1) & (~F.col("hot") | F.coalesce("first_run", F.lit(False)))).alias("kept"),
         "text_sha256",
     )
+
+
+def without_copies(docs: DataFrame, *, keep: str = "smallest") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, but of equal texts only one: see ``exact_dedup``.
+
+    Rows are told apart by doc_id and text.  Of rows that repeat both, one stays, by a hash of
+    all columns, so the same one at every run.
+    """
+    own, sha, place = unused(docs, "row_id", "row_sha", "place")
+    kept = exact_dedup(docs, keep=keep).where("kept").select(F.col("keep_id").alias(f"{own}2"), F.col("text_sha256").alias(f"{sha}2"))
+    rows = docs.withColumns({own: F.col("doc_id").cast("long"), sha: F.sha2(body("text").cast("binary"), 256)})
+    found = rows.join(kept, F.col(own).eqNullSafe(F.col(f"{own}2")) & (F.col(sha) == F.col(f"{sha}2")), "left_semi")
+    alone = F.row_number().over(Window.partitionBy(own, sha).orderBy(F.xxhash64(*docs.columns)))
+    return found.withColumn(place, alone).where(F.col(place) == 1).select(*docs.columns)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm.common import fresh_path
-from tests.llm.test_texts import brute_components
+from tests.llm.test_near import brute_components
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 

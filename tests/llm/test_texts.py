@@ -50,6 +50,16 @@ def test_pieces_give_the_library_ids(word, byte):
         assert sum(len(byte.encode(c, add_special_tokens=False).ids) for c in chunks.spaced(text)) == len(byte.encode(text, add_special_tokens=False).ids)
 
 
+def test_chunks_give_the_library_ids(word):
+    draw = random.Random(5)
+    pool = [*"aeéßç'#$%012²\t\n\x85\xa0", " ", " ", "한", "<|endoftext|>", "the", "ING", "x" * 60]
+    ids = lambda t: word.encode(t, add_special_tokens=False).ids
+    memo = chunks.Chunks(lambda pieces: list(map(ids, pieces)), ids, lambda parts: [i for p in parts for i in p], most=50)
+    for _ in range(1500):
+        text = "".join(draw.choice(pool) for _ in range(draw.randint(0, 20)))
+        assert [i for p in memo(text) for i in p] == ids(text)
+
+
 def test_memo_forgets_and_still_answers():
     memo = chunks.Memo(lambda found: [c.upper() for c in found], most=3, longest=4)
     for k in range(20):
@@ -72,6 +82,22 @@ def test_token_counts(spark, byte):
     assert token_counts.count_tokens(table(spark, []), BYTE, cache).count() == 0
 
 
+def test_repeated_rows_are_encoded_once(spark):
+    cache = fresh_path(spark, "t-cache")
+    docs = table(spark, ["one text", "another"] * 50, [None] * 50 + [7] * 50)
+    assert token_counts.count_tokens(docs, BYTE, cache).count() == 100
+    assert spark.read.parquet(cache).count() == 2
+
+
+def test_other_added_tokens_are_not_cut(spark, tmp_path):
+    other = Tokenizer.from_file(BYTE)
+    other.add_special_tokens(["[IN ST]"])
+    other.save(str(tmp_path / "other.json"))
+    texts = ["a [IN ST] b", "plain text"]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(table(spark, texts), str(tmp_path / "other.json"), fresh_path(spark, "c")).collect()}
+    assert got == {i: len(other.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_token_counts_of_other_kinds(spark, word):
     import sentencepiece
 
@@ -202,6 +228,62 @@ def test_latent_leaks_find_long_items(spark):
     assert {(r.doc_id, r.item_id) for r in latent_leaks.find_leaks(table(spark, texts), bench).collect()} == want
 
 
+def brute_leaks(texts, items, share=0.6, answer=0.5):
+    """All texts that hold an item by the word check, looked for around every word."""
+    split = lambda t: latent_leaks.words([t or ""])[0].tolist()
+    out = set()
+    for d, text in enumerate(texts):
+        w = split(text)
+        for k, item in items:
+            x = split(item)
+            last = x[-max(3, len(x) // 4) :]
+            for a in range(max(1, len(w) - len(x) + 1)):
+                near = w[max(0, a - len(x)) : a + 2 * len(x)]
+                if latent_leaks.common_subsequence(x, near) >= share * len(x) and latent_leaks.common_subsequence(last, near) >= answer * len(last):
+                    out.add((d, k))
+                    break
+    return out
+
+
+@pytest.mark.parametrize("clean", [0, 2, 4, 20])
+def test_latent_leaks_in_most_documents(spark, clean):
+    """An item that most documents hold, and one of stop words only, with 10 to 40 in 100 words changed."""
+    draw = random.Random(clean)
+    vocabulary = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
+    say = lambda n: [draw.choice(vocabulary) for _ in range(n)]
+    stops = ["the", "of", "and", "to", "in", "it", "is", "be", "not", "or"]
+    items = [(1, say(30)), (2, [draw.choice(stops) for _ in range(24)])]
+    texts = []
+    for changed in (0, 10, 20, 30, 40):
+        for _, item in items:
+            w = list(item)
+            for j in draw.sample(range(len(w)), len(w) * changed // 100):
+                w[j] = draw.choice(vocabulary)
+            texts.append(" ".join([*say(50), *w, *say(40)]))
+    for _ in range(clean):
+        texts.append(" ".join(x for w in say(80) for x in (w, draw.choice(stops))))
+    bench = [(k, " ".join(w)) for k, w in items]
+    planted = {(d, 1 + d % 2) for d in range(10)}
+    want = brute_leaks(texts, bench) & planted  # the words of an answer may all be changed
+    assert len(want) >= 8
+    got = {(r.doc_id, r.item_id) for r in latent_leaks.find_leaks(table(spark, texts), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    assert {(d, k) for d, k in got if k == 1} <= planted  # stop words in order may be found in any text full of them
+
+
+def test_leaks_of_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta"), (1, "quite other words for the very same item"), (None, "x y z"), (2, None), (3, "..."), (4, "one")], "item_id long, text string")
+    hit = "and alpha beta gamma delta epsilon zeta eta end"
+    docs = table(spark, [hit, hit, "quite other words for the very same item", None, "", "z " * 100_000 + hit, "clean words only here"], [5, 5, None, None, 5, 9, 5])
+    got = sorted((str(r.doc_id), r.item_id) for r in latent_leaks.find_leaks(docs, bench).collect())
+    assert got == [("5", 1), ("5", 1), ("9", 1), ("None", 1)]
+    left = latent_leaks.without_leaks(docs, bench)
+    assert left.columns == docs.columns and sorted(str(r.text) for r in left.collect()) == ["", "None", "clean words only here"]
+    assert latent_leaks.find_leaks(table(spark, []), bench).count() == 0
+    assert latent_leaks.find_leaks(docs, bench.where("item_id > 9")).count() == 0
+    assert latent_leaks.without_leaks(docs, bench.where("item_id > 9")).count() == 7
+
+
 def test_latent_leaks_of_a_full_block(spark):
     """512 items and a rank of 320, so the space of the items is cut."""
     draw = random.Random(12)
