@@ -1,9 +1,12 @@
 """A cleaning pipeline over ``documents``: STAGES applied one after the other, each written and read again.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and, but
-for the last, returns the columns of its input.  Nulls: a document with null text stays (equal
-null texts are copies of each other); one with a null doc_id stays unless it is toxic, an exact
-copy or the copy of a document with an id.  Empty tables stay empty.
+for the last, returns the columns of its input, whatever their names.  Each row is judged by its
+own text: ids only say which of several copies stays (the smallest; null last), so a row that
+shares its id with another text is not touched by that one's fate, and neither is a null id.  Of
+rows that repeat id and text one stays, chosen by a hash of all columns.  Null and empty texts
+are copies of each other, else they stay.  Very long texts are read whole.  Empty tables stay
+empty.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, exact_dedup, jaccard_regions, latent_leaks, weak_toxicity
-from factloom.llm.common import body, stage, table
+from factloom.llm.common import stage, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,24 +27,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, with the smallest doc_id."""
-    def key(df: DataFrame, sha) -> DataFrame:
-        return df.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__sha": sha})
-
-    kept = key(exact_dedup.exact_dedup(docs, keep="smallest").where("kept"), F.col("text_sha256")).select("__id", "__sha")
-    rows = key(docs, F.sha2(body("text").cast("binary"), 256)).join(kept, ["__id", "__sha"], "left_semi")
-    return rows.dropDuplicates(["__id", "__sha"]).select(*docs.columns)  # a row repeated with its id
+    return exact_dedup.without_copies(docs, keep="smallest")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8 the one with the smallest doc_id stays."""
-    classes = jaccard_regions.near_duplicates(docs, words=5, percent=80)
-    return docs.join(classes.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return jaccard_regions.without_near_copies(docs, words=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
-    leaks = latent_leaks.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return latent_leaks.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
