@@ -11,6 +11,6 @@ FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 
 def fnv1a32(text: str) -> Column:
     """FNV-1a of a text's UTF-8 bytes."""
-    byte = lambda i: F.conv(F.substring(F.hex(F.encode(text, "UTF-8")), i * 2 + 1, F.lit(2)), 16, 10).cast("long")
-    places = F.when(F.octet_length(text) > 0, F.sequence(F.lit(0), F.octet_length(text) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.lit(FNV_OFFSET).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * FNV_PRIME).bitwiseAND(F.lit(0xFFFFFFFF)))
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))  # once, not for each byte
+    step = lambda h, two: (h.bitwiseXOR(F.conv(two, 16, 10).cast("long")) * FNV_PRIME).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.aggregate(pairs, F.lit(FNV_OFFSET).cast("long"), step)

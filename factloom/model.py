@@ -11,6 +11,21 @@ MUTATION = f"namespace string, entity bigint, component string, value string, hl
 KEYS = ["namespace", "entity", "component"]
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: the session's ``spark.checkpoint.dir``.
+
+    Only a local session without that setting (tests) gets a folder of its own; on a cluster it
+    has to be set.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -48,3 +48,21 @@ def receive(messages: DataFrame, node: str = "node") -> DataFrame:
         F.when(wall == 0, 1 - F.col("first")).when(~F.col("top.remote_wall").eqNullSafe(wall), F.col("top.before")),
     )
     return found.select(node, wall.alias("wall"), (F.col("last") + start).alias("logical"))
+
+
+def received(messages: DataFrame, node: str = "node") -> DataFrame:
+    """Each message (node, seq, now, remote_wall, remote_logical) with the stamp (wall, logical) that its receipt gets.
+
+    The wall is the largest so far.  In a run of one wall the logical part goes up by one with
+    each message, or to one more than a remote's at that wall, so it is the largest of all starts
+    so far plus the messages since.  A node's messages are sorted by one task, which spills; it
+    holds no array of them.
+    """
+    order = Window.partitionBy(node).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = messages.withColumn("wall", F.greatest(F.max(F.greatest("now", "remote_wall")).over(order), F.lit(0)).cast("long"))
+    run = Window.partitionBy(node, "wall").orderBy("seq")
+    rows = rows.withColumn("__k", F.row_number().over(run))
+    same = F.col("remote_wall") == F.col("wall")
+    start = F.when(same, F.col("remote_logical") + 1).when(F.col("__k") == 1, F.when(F.col("wall") == 0, 1).otherwise(0))
+    most = F.max(start - F.col("__k")).over(run.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("logical", (most + F.col("__k")).cast("long")).drop("__k")

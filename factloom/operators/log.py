@@ -36,7 +36,20 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
     waiting.unionByName(settled).unionByName(acks).write.mode("errorifexists").partitionBy("namespace").parquet(target)
 
 
-def within_limits(log: DataFrame, *, record: int = 16 << 20, field: int = 8 << 20) -> DataFrame:
-    """Rows of which no field and no record is too large."""
+def within_limits(log: DataFrame, *, record: int = 16 << 20, field: int = 8 << 20, batch: str | None = None, mutations: int = 1 << 20) -> DataFrame:
+    """Rows of which no field is empty or too large and no record is too large.
+
+    With ``batch``, a column that names the record which mutations are written together in,
+    records of more than ``mutations`` are left out as a whole.
+    """
     size = sum((F.octet_length(F.col(c).cast("string")) for c in ("namespace", "value")), F.lit(64))
-    return log.where((size <= record) & (F.octet_length(F.col("value").cast("string")) <= field))
+    good = log.where((size <= record) & (F.octet_length(F.col("value").cast("string")) <= field) & (F.octet_length("namespace") > 0))
+    if batch is None:
+        return good
+    many = log.groupBy(batch).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > mutations).select(batch)
+    return good.join(many, batch, "left_anti").select(*log.columns)
+
+
+def of_namespace(log: DataFrame, namespace: str | None) -> DataFrame:
+    """The rows of one namespace (a folder of the log, so no other is read), or of all."""
+    return log if namespace is None else log.where(F.col("namespace") == namespace)

@@ -50,3 +50,17 @@ def read_through(cache: DataFrame, durable: DataFrame, keys: list[str] = KEYS) -
     """Facts of the cache, and of the durable store where the cache has none."""
     stored = durable.select(*keys, F.col("value").alias("stored"))
     return cache.select(*keys, "value").join(stored, keys, "full").select(*keys, F.coalesce("value", "stored").alias("value"))
+
+
+def lookup(facts: DataFrame, keys: DataFrame, on: list[str] = KEYS) -> DataFrame:
+    """The facts of the given keys; null values where there is none."""
+    return keys.select(*on).distinct().join(facts, on, "left")
+
+
+def side_by_side(log: DataFrame, components: list[str], entity: str = "entity") -> DataFrame:
+    """A row for each entity with the current value of each of its ``components``, as a rule reads them."""
+    def last(c: str) -> Column:
+        own = F.col("component") == c
+        return F.max_by(F.when(own, F.col("value")), F.when(own, _rank())).alias(f"{c}_value")
+
+    return log.groupBy(entity).agg(*map(last, components))

@@ -15,6 +15,12 @@ def json_mapper(schema: str, required: list[str], payload: str = "payload") -> C
     return F.when(there, F.to_json(parsed))
 
 
+def field_or(payload: str, field: str, default) -> Column:
+    """A JSON object's field, or ``default`` where it is missing, null or of another type."""
+    kind = {bool: "boolean", int: "long", float: "double", str: "string"}[type(default)]
+    return F.coalesce(F.get_json_object(payload, f"$.{field}").try_cast(kind), F.lit(default))
+
+
 def fan_out(payloads: DataFrame, mappers: dict[str, Column]) -> DataFrame:
     """A row (component, value) for each mapper that accepts a payload: the payload is read once, whatever the mappers."""
     offers = F.array(*(F.struct(F.lit(name).alias("component"), value.alias("value")) for name, value in mappers.items()))

@@ -18,6 +18,47 @@ def bits_set(bitmaps: DataFrame, by: list[str]) -> DataFrame:
     return bitmaps.groupBy(*by).agg(F.sum(F.bitmap_count("bits")).alias("n"))
 
 
+def bits_clear(bitmaps: DataFrame, by: list[str]) -> DataFrame:
+    return bitmaps.groupBy(*by).agg(F.sum(8 * F.octet_length("bits") - F.bitmap_count("bits")).alias("n"))
+
+
+def _bytes(bits: Column) -> Column:
+    pairs = F.regexp_extract_all(F.hex(bits), F.lit("(..)"), F.lit(1))
+    return F.transform(pairs, lambda two: F.conv(two, 16, 10).cast("int"))
+
+
+def _binary(values: Column) -> Column:
+    return F.unhex(F.array_join(F.transform(values, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
+
+
+def bit_op(a: Column, b: Column, how: str) -> Column:
+    """Bitmaps of one length, byte by byte: and, or, xor, andnot."""
+    ops = {"and": lambda x, y: x.bitwiseAND(y), "or": lambda x, y: x.bitwiseOR(y), "xor": lambda x, y: x.bitwiseXOR(y), "andnot": lambda x, y: x.bitwiseAND(F.bitwise_not(y))}
+    return _binary(F.zip_with(_bytes(a), _bytes(b), ops[how]))
+
+
+def bit_not(a: Column) -> Column:
+    """All bits of a bitmap the other way round."""
+    return _binary(F.transform(_bytes(a), lambda x: x.bitwiseXOR(F.lit(255))))
+
+
+def bit_get(a: Column, position: Column) -> Column:
+    """Whether a bit is set; false beyond the map's ends."""
+    inside = (position >= 0) & (position < 8 * F.octet_length(a))
+    byte = F.conv(F.hex(F.substr(a, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return inside & (F.call_function("shiftright", byte, (position % 8).cast("int")) % 2 == 1)
+
+
+def bit_range(a: Column, first: Column, last: Column, value: bool) -> Column:
+    """A bitmap with the bits ``first`` to ``last`` (both included) set or cleared; what lies outside is ignored."""
+    low = lambda k: F.greatest(F.lit(0), F.least(F.lit(8), first - 8 * k)).cast("int")
+    high = lambda k: F.greatest(F.lit(0), F.least(F.lit(8), last + 1 - 8 * k)).cast("int")
+    one = lambda n: F.call_function("shiftleft", F.lit(1), n)
+    mask = lambda k: F.greatest(F.lit(0), one(high(k)) - one(low(k)))
+    change = (lambda x, k: x.bitwiseOR(mask(k))) if value else (lambda x, k: x.bitwiseAND(F.lit(255) - mask(k)))
+    return _binary(F.transform(_bytes(a), change))
+
+
 def combine(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     """Positions (one column, the same name in both) in both (and), either (or), one only (xor), or a only (andnot)."""
     if how == "and":

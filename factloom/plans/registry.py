@@ -55,7 +55,7 @@ class Registry:
                     known.append(name)
                 elif not self.lenient:
                     raise KeyError(f"rule {body.__name__} watches unknown {name}")
-            self.rules.append(Rule(body.__name__, known, priority, list(writes), body, len(self.rules)))
+            self.rules.append(Rule(body.__name__, known, priority, list(writes), body, 1 + max((r.rule_id for r in self.rules), default=-1)))
             return body
 
         return declare
@@ -73,17 +73,35 @@ class Registry:
     def rule_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(r.rule_id, r.name, r.priority) for r in self.rules], "rule_id long, name string, priority int")
 
+    def watches(self, name: str) -> list[str]:
+        """What a rule watches, as resolved."""
+        return next(list(r.watch) for r in self.rules if r.name == name)
+
+    def unload(self, name: str) -> Rule:
+        """Take a rule out of the graph; the ids of the others stay."""
+        rule = next(r for r in self.rules if r.name == name)
+        self.rules.remove(rule)
+        return rule
+
+    def of_type(self, type_name: str) -> list[str]:
+        """All components, of any source, whose declared type is ``type_name``."""
+        return [f"{s.name}::{c}" for s in self.sources.values() for c, ddl in s.components.items() if ddl == type_name]
+
+    def ranked(self) -> list[Rule]:
+        """Rules in the order of the agenda: higher priority first, then lower id."""
+        return sorted(self.rules, key=lambda r: (-r.priority, r.rule_id))
+
     def edges(self) -> list[tuple[str, str]]:
         """Which component leads to which, through a rule."""
         return sorted({(w, t) for r in self.rules for w in r.watch for t in r.writes})
 
     def order(self) -> list[Rule]:
         """Rules after all those that write what they watch; ValueError if the graph has a cycle."""
-        after = {r.name: {s.name for s in self.rules if set(s.writes) & set(r.watch)} for r in self.rules}
+        after = {r.rule_id: {s.rule_id for s in self.rules if set(s.writes) & set(r.watch)} for r in self.rules}
         out: list[Rule] = []
         while rest := [r for r in self.rules if r not in out]:
-            done = {r.name for r in out}
-            ready = [r for r in rest if after[r.name] <= done]
+            done = {r.rule_id for r in out}
+            ready = [r for r in rest if after[r.rule_id] <= done]
             if not ready:
                 raise ValueError("rules form a cycle: " + ", ".join(sorted(r.name for r in rest)))
             out += sorted(ready, key=lambda r: (-r.priority, r.rule_id))

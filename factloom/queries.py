@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import binary
 from .functions.hashing import fnv1a32
-from .model import hlc, millis, mutations, read
+from .model import hlc, millis, mutations, read, shared_dir
 from .operators import agenda as agendas
 from .operators import clock, lww, mapping, ordering, pending, sketches, store
 from .operators import log as logs
@@ -129,6 +130,23 @@ def hlc_receive(spark, d):
     return clock.receive(messages)
 
 
+@query(f"""WITH RECURSIVE m AS (SELECT event_id, user_id AS node, epoch_us(ts) // 1000 AS now, epoch_us(ts) // 1000 + ((event_id * 31) % 7 - 3) * 1000 AS rw, event_id % 4 AS rl,
+        row_number() OVER (PARTITION BY user_id ORDER BY {_SEQ}) AS k FROM events),
+    f(node, event_id, k, wall, logical) AS (SELECT DISTINCT node, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM m UNION ALL
+        SELECT f.node, m.event_id, m.k, greatest(m.now, f.wall, m.rw),
+            CASE WHEN greatest(m.now, f.wall, m.rw) = f.wall AND f.wall = m.rw THEN greatest(f.logical, m.rl) + 1
+                 WHEN greatest(m.now, f.wall, m.rw) = f.wall THEN f.logical + 1
+                 WHEN greatest(m.now, f.wall, m.rw) = m.rw THEN m.rl + 1 ELSE 0 END
+        FROM f JOIN m ON m.node = f.node AND m.k = f.k + 1)
+    SELECT event_id, wall, logical FROM f WHERE k > 0""")
+def hlc_stamps(spark, d):
+    """The stamp that each message gets when it is received."""
+    m = mutations(spark, d)
+    shift = ((F.col("event_id") * 31) % 7 - 3) * 1000
+    messages = m.select("event_id", F.col("entity").alias("node"), "seq", F.col("hlc.wall").alias("now"), (F.col("hlc.wall") + shift).alias("remote_wall"), (F.col("event_id") % 4).alias("remote_logical"))
+    return clock.received(messages).select("event_id", "wall", "logical")
+
+
 @query(f"{_M} SELECT x.event_id, {{'w': x.wall, 'l': x.logical}} > {{'w': y.wall, 'l': y.logical}} AS later FROM m x JOIN m y ON y.event_id = x.event_id + 1")
 def hlc_order(spark, d):
     m = mutations(spark, d).select("event_id", "hlc")
@@ -146,14 +164,41 @@ def mapper_fanout(spark, d):
     return out.select("event_id", "component", F.get_json_object("value", "$.k").alias("k"))
 
 
-@query("SELECT page_id FROM pages")
+_TEXTS = "CASE event_id % 7 WHEN 0 THEN 'true' WHEN 1 THEN CAST(user_id AS VARCHAR(20)) WHEN 2 THEN '2.5' WHEN 3 THEN '\"x\"' WHEN 4 THEN props WHEN 5 THEN '[1]' ELSE '{{' END"
+
+
+@query("SELECT event_id FROM events WHERE event_id % 7 <> 4 OR json_extract_string(props, '$.k') IS NULL")
 def mapper_decline(spark, d):
-    """Raw pages are no JSON objects: every mapper declines each of them."""
-    payloads = read(spark, d, "pages").select("page_id", F.col("html").alias("payload"))
-    return mapping.declined(payloads, {n: mapping.json_mapper(*s) for n, s in _MAPPERS.items()}).select("page_id")
+    """Payloads of all kinds: only JSON objects with a field that a mapper needs are accepted."""
+    payloads = read(spark, d, "events").select("event_id", F.expr(_TEXTS.replace("VARCHAR(20)", "STRING")).alias("payload"))
+    return mapping.declined(payloads, {n: mapping.json_mapper(*s) for n, s in _MAPPERS.items()}).select("event_id")
 
 
-_TEXTS = "CASE event_id % 7 WHEN 0 THEN 'true' WHEN 1 THEN CAST(user_id AS VARCHAR(20)) WHEN 2 THEN '2.5' WHEN 3 THEN '\"x\"' WHEN 4 THEN props WHEN 5 THEN '[1]' ELSE '{{' END"
+@query("""SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 0.0) AS temperature, 0.0::DOUBLE AS humidity, 'C' AS unit,
+    CASE WHEN coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 0.0) > 40.0 THEN 'Alert' ELSE 'Ok' END AS status FROM events""")
+def sensor_status(spark, d):
+    """Fields that may be missing get defaults; the rule reads both and writes one of two variants."""
+    rows = read(spark, d, "events").select("event_id", F.lit("SensorData").alias("source"), F.col("event_id").alias("entity"), F.col("event_id").alias("cause_id"), F.col("props"))
+    fields = rows.select("*", mapping.field_or("props", "k", 0.0).alias("temperature"), mapping.field_or("props", "humidity", 0.0).alias("humidity"), mapping.field_or("props", "unit", "C").alias("unit"))
+    changes = fields.select("source", "entity", "cause_id", F.lit("temperature").alias("component"), F.col("temperature").cast("string").alias("value"))
+    state = fields.select("source", "entity", F.lit("humidity").alias("component"), F.col("humidity").cast("string").alias("value"))
+    out = cascade.to_fixpoint(changes, sensor_rules(), state=state)
+    status = out.select(F.col("cause_id").alias("event_id"), F.get_json_object("value", "$.status").alias("status"), F.get_json_object("value", "$.humidity").cast("double").alias("humidity"))
+    return fields.select("event_id", "temperature", "unit").join(status, "event_id").select("event_id", "temperature", "humidity", "unit", "status")
+
+
+def sensor_rules() -> Registry:
+    r = Registry()
+    r.source("SensorData", {"temperature": "value float, unit string", "humidity": "value float, unit string", "status": "status string"})
+
+    @r.rule(["SensorData::temperature", "SensorData::humidity"], priority=5, writes=["SensorData::status"])
+    def on_sensor_update(df, context):
+        both = context.get(context.get(df, "SensorData::temperature", "t", "0.0"), "SensorData::humidity", "h", "0.0")
+        status = F.when(F.col("t").cast("double") > 40.0, "Alert").otherwise("Ok")
+        value = F.to_json(F.struct(status.alias("status"), F.col("h").cast("double").alias("humidity")))
+        return both.withColumns({"component": F.lit("status"), "value": value}).drop("t", "h")
+
+    return r
 
 
 @query(f"SELECT event_id, CASE event_id % 7 WHEN 6 THEN NULL ELSE CASE json_type(t) WHEN 'BOOLEAN' THEN 'bool' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' ELSE 'bytes' END END AS tag FROM (SELECT event_id, CASE WHEN event_id % 7 = 6 THEN 'null' ELSE {_TEXTS} END AS t FROM events)")
@@ -164,8 +209,15 @@ def json_sniff(spark, d):
 @query(f"{_M} SELECT entity, arg_max(value, {{'w': wall, 'l': logical}}) FILTER (WHERE component = 'view') AS view_value, arg_max(value, {{'w': wall, 'l': logical}}) FILTER (WHERE component = 'purchase') AS purchase_value FROM m GROUP BY entity")
 def state_pivot(spark, d):
     """Several components of one entity side by side, as a rule reads them."""
-    last = {c: F.max_by(F.when(F.col("component") == c, F.col("value")), F.when(F.col("component") == c, F.col("hlc"))).alias(f"{c}_value") for c in ("view", "purchase")}
-    return mutations(spark, d).groupBy("entity").agg(*last.values())
+    return lww.side_by_side(mutations(spark, d), ["view", "purchase"])
+
+
+@query(f"{_M}, k AS (SELECT DISTINCT entity, 'view' AS component FROM m WHERE event_id % 10 = 0) SELECT k.entity, k.component, arg_max(value, {{'w': wall, 'l': logical}}) AS value FROM k LEFT JOIN m USING (entity, component) GROUP BY ALL")
+def fact_lookup(spark, d):
+    """Facts by composite key; keys without a fact give null."""
+    m = mutations(spark, d)
+    keys = m.where("event_id % 10 = 0").select("namespace", "entity", F.lit("view").alias("component"))
+    return lww.lookup(lww.latest(m), keys).select("entity", "component", "value")
 
 
 def event_rules() -> Registry:
@@ -203,6 +255,74 @@ def claim_coalesce(spark, d):
     return agendas.coalesced(agendas.agenda(_dirty(spark, d), r.watchers(spark), r.rule_table(spark)))
 
 
+def two_source_rules() -> Registry:
+    """Two sources have a component of the same name; only one of them is watched by each rule."""
+    r = Registry()
+    r.source("North", {"status": "v double", "alarm": "v double"})
+    r.source("South", {"status": "v double", "note": "v double"})
+    r.rule(["North::status"], priority=9, writes=["North::alarm"])(lambda df: df.where("value > 50").withColumn("component", F.lit("alarm")))
+    r.rule(["South::status"], priority=3, writes=["South::note"])(lambda df: df.withColumn("component", F.lit("note")))
+    r.rule(["North::alarm"], priority=1, writes=["South::note"])(lambda df: df.withColumn("component", F.lit("note")))
+    return r
+
+
+def _two_sources(spark, d):
+    e = read(spark, d, "events")
+    return e.select(F.when(F.col("event_id") % 2 == 0, "North").otherwise("South").alias("source"), F.col("event_id").alias("cause_id"), F.col("user_id").alias("entity"), F.lit("status").alias("component"), "value")
+
+
+@query("""SELECT event_id AS cause_id, 'South' AS source, 'note' AS component, value, 1 AS depth FROM events WHERE event_id % 2 = 1
+    UNION ALL SELECT event_id, 'North', 'alarm', value, 1 FROM events WHERE event_id % 2 = 0 AND value > 50
+    UNION ALL SELECT event_id, 'South', 'note', value, 2 FROM events WHERE event_id % 2 = 0 AND value > 50""")
+def cascade_sources(spark, d):
+    """Rules are woken by a source's component, not by another source's of the same name."""
+    return cascade.unrolled(_two_sources(spark, d), two_source_rules()).select("cause_id", "source", "component", "value", "depth")
+
+
+@query("SELECT event_id AS dirty_id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END::BIGINT AS rule_id, 1 AS place FROM events")
+def agenda_sources(spark, d):
+    r = two_source_rules()
+    dirty = _two_sources(spark, d).withColumnRenamed("cause_id", "dirty_id")
+    return agendas.agenda(dirty, r.watchers(spark), r.rule_table(spark)).select("dirty_id", "rule_id", "place")
+
+
+def failing_rules() -> Registry:
+    """A rule that traps above 90, gives status 3 below 10, and floods the queue at 50 to 51."""
+    r = Registry()
+    r.source("S", {"reading": "v double", "checked": "v double", "many": "v double"})
+
+    @r.rule(["S::reading"], priority=10, writes=["S::checked"])
+    def check(df):
+        status = F.when(F.col("value").cast("double") < 10, 3).otherwise(0)
+        return df.withColumns({"component": F.lit("checked"), "status": status, "trap": F.lit(False)})
+
+    @r.rule(["S::checked"], priority=5, writes=["S::many"])
+    def spread(df):
+        value = F.col("value").cast("double")
+        out = df.withColumns({"trap": value > 90, "status": F.lit(0), "component": F.lit("many"), "copies": F.sequence(F.lit(1), F.when(value.between(50, 51), 9).otherwise(1))})
+        return out.withColumn("copies", F.explode("copies")).drop("copies")
+
+    @r.rule(["S::many"], writes=[])
+    def end(df):
+        return df.where("false")
+
+    return r
+
+
+@query("""WITH e AS (SELECT event_id AS cause_id, value, CASE WHEN value > 90 THEN 'trap' WHEN value BETWEEN 50 AND 51 THEN 'queue full' END AS reason FROM events)
+    SELECT cause_id, CASE WHEN reason IS NULL THEN 'ack' ELSE 'failed' END AS kind, 'reading' AS component, 0 AS status, reason FROM e
+    UNION ALL SELECT cause_id, 'put', c, CASE WHEN c = 'checked' AND value < 10 THEN 3 ELSE 0 END, NULL FROM e, (VALUES ('checked'), ('many')) v(c) WHERE reason IS NULL""")
+def cascade_atomic(spark, d):
+    """Outputs and acknowledgement of a change together, or neither: traps and a full queue take all back, a status is kept."""
+    changes = _readings(spark, d)
+    return cascade.atomic(changes, failing_rules()).select("cause_id", "kind", "component", "status", "reason")
+
+
+@query("SELECT event_id AS cause_id, component, depth FROM events, (VALUES ('alert', 1), ('notification', 2)) c(component, depth) WHERE event_id = 7")
+def causal_trace(spark, d):
+    return cascade.trace(cascade.unrolled(_readings(spark, d), alert_rules()), F.lit(7)).select("cause_id", "component", "depth")
+
+
 def alert_rules() -> Registry:
     """reading > 10 gives an alert, an alert gives a notification."""
     r = Registry()
@@ -264,28 +384,30 @@ def cascade_inventory(spark, d):
     return cascade.unrolled(levels, stock_rules()).select("entity", "component", "value")
 
 
-_LINKS = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("e", "f"), ("f", "f")]
-_LINKS_SQL = "l(src, dst) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _LINKS) + ")"
-_WALK = f"WITH RECURSIVE {_LINKS_SQL}, walk(src, dst, steps) AS (SELECT src, dst, 1 FROM l UNION ALL SELECT w.src, l.dst, w.steps + 1 FROM walk w JOIN l ON w.dst = l.src WHERE w.steps < 16)"
+#: Links between users' groups: one for each error event.
+_LINKS_SQL = "l AS (SELECT DISTINCT user_id % 150 AS src, (event_id * 37) % 150 AS dst FROM events WHERE event_type = 'error')"
+_WALK = f"WITH RECURSIVE {_LINKS_SQL}, walk(src, dst, steps) AS (SELECT src, dst, 1 FROM l UNION SELECT w.src, l.dst, w.steps + 1 FROM walk w JOIN l ON w.dst = l.src WHERE w.steps < 12)"
 
 
-def _links(spark):
-    return spark.createDataFrame(_LINKS, "src string, dst string")
+def _links(spark, d):
+    e = read(spark, d, "events").where("event_type = 'error'")
+    return e.select((F.col("user_id") % 150).alias("src"), ((F.col("event_id") * 37) % 150).alias("dst"), "event_id")
 
 
 @query(f"{_WALK} SELECT src, dst, min(steps) AS steps FROM walk GROUP BY ALL")
 def cascade_closure(spark, d):
-    return graph.reachable(spark, _links(spark))
+    return graph.reachable(spark, _links(spark, d))
 
 
 @query(f"{_WALK} SELECT src AS node, min(steps) AS length FROM walk WHERE src = dst GROUP BY src")
 def graph_cycles(spark, d):
-    return graph.on_cycles(spark, _links(spark))
+    return graph.on_cycles(spark, _links(spark, d))
 
 
-@query("SELECT 'a' AS src, 'b' AS dst, 'removed' AS change UNION ALL SELECT 'a', 'z', 'added'")
+@query("WITH l AS (SELECT DISTINCT user_id % 150 AS src, (event_id * 37) % 150 AS dst, event_id % 2 AS half FROM events WHERE event_type = 'error'), o AS (SELECT src, dst FROM l WHERE half = 0), n AS (SELECT src, dst FROM l WHERE half = 1) SELECT src, dst, 'removed' AS change FROM (SELECT * FROM o EXCEPT SELECT * FROM n) UNION ALL SELECT src, dst, 'added' FROM (SELECT * FROM n EXCEPT SELECT * FROM o)")
 def graph_diff(spark, d):
-    return graph.difference(_links(spark), spark.createDataFrame([*_LINKS[1:], ("a", "z")], "src string, dst string"))
+    halves = (_links(spark, d).where(F.col("event_id") % 2 == k).select("src", "dst").distinct() for k in (0, 1))
+    return graph.difference(*halves)
 
 
 @query("SELECT * FROM (VALUES ('Events', 'click', 0::BIGINT), ('Events', 'click', 3), ('Events', 'purchase', 1), ('Events', 'purchase', 2), ('Events', 'view', 0), ('Events', 'view', 2)) v(source, component, rule_id)")
@@ -352,7 +474,7 @@ def wal_replay(spark, d):
     """A log that was written and read again: what is pending after its acknowledgements."""
     m = mutations(spark, d).withColumns({"kind": F.lit("put"), "acks": F.lit(None).cast("long")})
     acks = m.where("event_id % 4 = 0").withColumns({"kind": F.lit("ack"), "acks": F.col("seq")})
-    path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/log-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
     logs.append(m, path)
     logs.append(acks, path)
     return logs.replay(spark.read.parquet(path))[1].select("event_id")
@@ -427,14 +549,53 @@ def bitmap_count(spark, d):
     return sketches.bits_set(sketches.bitmap(read(spark, d, "events"), "user_id", ["event_type"]), ["event_type"])
 
 
-@query("WITH v AS (SELECT DISTINCT user_id AS p FROM events WHERE event_type = 'error' AND value > 50), c AS (SELECT DISTINCT user_id AS p FROM events WHERE event_type = 'purchase' AND value > 50), x AS (SELECT 'and' AS op, p FROM (SELECT p FROM v INTERSECT SELECT p FROM c) UNION ALL SELECT 'or', p FROM (SELECT p FROM v UNION SELECT p FROM c) UNION ALL SELECT 'andnot', p FROM (SELECT p FROM v EXCEPT SELECT p FROM c) UNION ALL SELECT 'xor', p FROM ((SELECT p FROM v EXCEPT SELECT p FROM c) UNION (SELECT p FROM c EXCEPT SELECT p FROM v))) SELECT op, p FROM x")
+@query("WITH v AS (SELECT DISTINCT user_id AS p FROM events WHERE event_type = 'error'), c AS (SELECT DISTINCT user_id AS p FROM events WHERE event_type = 'purchase'), x AS (SELECT 'and' AS op, p FROM (SELECT p FROM v INTERSECT SELECT p FROM c) UNION ALL SELECT 'or', p FROM (SELECT p FROM v UNION SELECT p FROM c) UNION ALL SELECT 'andnot', p FROM (SELECT p FROM v EXCEPT SELECT p FROM c) UNION ALL SELECT 'xor', p FROM ((SELECT p FROM v EXCEPT SELECT p FROM c) UNION (SELECT p FROM c EXCEPT SELECT p FROM v))) SELECT op, p FROM x")
 def bitmap_setops(spark, d):
-    e = read(spark, d, "events").where("value > 50")
+    e = read(spark, d, "events")
     a, b = (e.where(F.col("event_type") == k).select(F.col("user_id").alias("p")).distinct() for k in ("error", "purchase"))
     parts = [sketches.combine(a, b, op).select(F.lit(op).alias("op"), "p") for op in ("and", "or", "xor", "andnot")]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
+@query("""WITH a AS (SELECT DISTINCT user_id AS p, user_id // 32768 AS bucket FROM events WHERE event_type = 'error'), b AS (SELECT DISTINCT user_id AS p, user_id // 32768 AS bucket FROM events WHERE event_type = 'purchase'),
+    k AS (SELECT DISTINCT bucket FROM a INTERSECT SELECT DISTINCT bucket FROM b), x AS (SELECT coalesce(a.p, b.p) AS p, coalesce(a.bucket, b.bucket) AS bucket, a.p IS NOT NULL AS ina, b.p IS NOT NULL AS inb FROM a FULL JOIN b USING (p)),
+    c AS (SELECT bucket, count(*) FILTER (WHERE ina AND inb) AS n_and, count(*) AS n_or, count(*) FILTER (WHERE ina <> inb) AS n_xor, count(*) FILTER (WHERE ina AND NOT inb) AS n_andnot, 32768 - count(*) FILTER (WHERE ina) AS n_not,
+        count(*) FILTER (WHERE ina OR p % 32768 BETWEEN 3 AND 20) + 18 - count(*) FILTER (WHERE p % 32768 BETWEEN 3 AND 20) AS n_set, count(*) FILTER (WHERE ina AND p % 32768 NOT BETWEEN 3 AND 20) AS n_cleared, coalesce(bool_or(ina AND p % 32768 = 7), false) AS bit_7 FROM x GROUP BY bucket)
+    SELECT bucket + 1 AS bucket, n_and, n_or, n_xor, n_andnot, n_not, n_set, n_cleared, bit_7 FROM c WHERE bucket IN (SELECT bucket FROM k)""")
+def bitmap_bytes(spark, d):
+    """Operations on the bytes of two bitmaps: and, or, xor, and-not, not, ranges set and cleared, one bit."""
+    e = read(spark, d, "events")
+    a, b = (sketches.bitmap(e.where(F.col("event_type") == k).withColumn("p", F.col("user_id") + 1), "p").withColumnRenamed("bits", name) for k, name in (("error", "a"), ("purchase", "b")))
+    x, y, count = F.col("a"), F.col("b"), F.bitmap_count
+    return a.join(b, "bucket").select(
+        "bucket", *(count(sketches.bit_op(x, y, how)).alias(f"n_{how}") for how in ("and", "or", "xor", "andnot")), count(sketches.bit_not(x)).alias("n_not"),
+        count(sketches.bit_range(x, F.lit(3), F.lit(20), True)).alias("n_set"), count(sketches.bit_range(x, F.lit(3), F.lit(20), False)).alias("n_cleared"), sketches.bit_get(x, F.lit(7)).alias("bit_7"),
+    )
+
+
+@query("SELECT event_type, count(DISTINCT user_id // 32768)::BIGINT * 32768 - count(DISTINCT user_id)::BIGINT AS n FROM events GROUP BY event_type")
+def bitmap_clear(spark, d):
+    e = read(spark, d, "events").withColumn("p", F.col("user_id") + 1)
+    return sketches.bits_clear(sketches.bitmap(e, "p", ["event_type"]), ["event_type"])
+
+
+@query("SELECT event_id, lower(printf('%08X', event_id % 4294967296)) AS big, event_id % 4294967296 AS back, CAST(event_id % 3 = 0 AS BOOLEAN) AS flag FROM events")
+def binary_codec(spark, d):
+    """Integers to bytes and back; literals of text."""
+    e = read(spark, d, "events")
+    little = binary.little_endian(F.col("event_id"), 4)
+    flag = binary.literal(F.when(F.col("event_id") % 3 == 0, "true").otherwise("false"), "bool")
+    return e.select("event_id", F.lower(F.hex(binary.big_endian(F.col("event_id"), 4))).alias("big"), binary.from_little_endian(little, 4).alias("back"), flag.alias("flag"))
+
+
+@query(f"{_KV}, s AS (SELECT module, key, arg_max(value, seq) AS value FROM o GROUP BY ALL HAVING NOT arg_max(del, seq)), r AS (SELECT DISTINCT module, key FROM o UNION SELECT DISTINCT module, 'none' FROM o) SELECT module, key, CASE WHEN s.module IS NULL THEN 1 ELSE 0 END AS status, s.value FROM r LEFT JOIN s USING (module, key)")
+def kv_get(spark, d):
+    """Status 0 with the value, or 1 for what is missing."""
+    ops = _kv(spark, d)
+    asked = ops.select("namespace", "module", "key").union(ops.select("namespace", "module", F.lit("none"))).distinct()
+    return store.get(store.state(ops), asked).select("module", "key", "status", "value")
+
+
 @query("SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 90)")
 def bloom_semi(spark, d):
     e = read(spark, d, "events")
@@ -453,7 +614,7 @@ def stream_lww_equals_batch(spark, d):
     events = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     arrival = (F.col("event_id") * 7919 % 10007) * 1099511627776 + F.col("event_id")
     log = events.select(F.col("user_id").alias("entity"), F.col("event_type").alias("component"), "value", hlc(millis(), F.col("event_id"), F.lit(1)).alias("hlc"), arrival.alias("seq"))
-    where = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/facts_{uuid.uuid4().hex}"
+    where = f"{shared_dir(spark)}/facts_{uuid.uuid4().hex}"
     return _flat(facts_at_end(log, ["entity", "component"], where))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spark's format for each kind of source, and the options that it cannot do without.
@@ -35,5 +35,6 @@ def route(path: str, default: str) -> str:
 
 def conflate(payloads: DataFrame, window: str, by: list[str], order: str) -> DataFrame:
     """Only the last payload of each source and poll window: a slot that newer payloads overwrite."""
-    last = Window.partitionBy(*by, F.window(F.col(window).cast("timestamp"), "1 minute")["start"]).orderBy(F.desc(order))
-    return payloads.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+    slot = F.window(F.col(window).cast("timestamp"), "1 minute")["start"]
+    last = payloads.groupBy(*by, slot.alias("__slot")).agg(F.max_by(F.struct(*payloads.columns), order).alias("__row"))
+    return last.select("__row.*")

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import binary
 from factloom.functions.hashing import fnv1a32
 from factloom.operators import agenda, clock, log, lww, mapping, ordering, pending, sketches, store, table
 
@@ -188,6 +189,62 @@ def test_sketches(spark):
     assert {r.w for r in kept.collect()} == {"hello", "world", "foo"}
 
 
+def test_bytes_of_bitmaps(spark):
+    bits = lambda *on: bytes(sum(1 << p % 8 for p in on if p // 8 == k) for k in range(2))
+    df = spark.createDataFrame([(bits(0, 3, 9), bits(3, 15))], "a binary, b binary")
+    a, b = F.col("a"), F.col("b")
+    got = df.select(
+        sketches.bit_op(a, b, "and"), sketches.bit_op(a, b, "or"), sketches.bit_op(a, b, "xor"), sketches.bit_op(a, b, "andnot"), sketches.bit_not(a),
+        sketches.bit_range(a, F.lit(2), F.lit(10), True), sketches.bit_range(a, F.lit(-4), F.lit(8), False), sketches.bit_range(a, F.lit(5), F.lit(99), False),
+    ).first()
+    assert [bytes(x) for x in got] == [
+        bits(3), bits(0, 3, 9, 15), bits(0, 9, 15), bits(0, 9), bits(*set(range(16)) - {0, 3, 9}), bits(0, *range(2, 11)), bits(9), bits(0, 3),
+    ]
+    assert list(df.select(*(sketches.bit_get(a, F.lit(k)) for k in (-1, 0, 1, 9, 15, 16))).first()) == [False, True, False, True, False, False]
+
+
+def test_binary_and_literals(spark):
+    df = spark.createDataFrame([(0x01020304, "ab")], "n long, s string")
+    n = F.col("n")
+    got = df.select(binary.big_endian(n, 4), binary.little_endian(n, 4), binary.length_prefixed(F.encode("s", "UTF-8")), binary.from_big_endian(binary.big_endian(n, 4)), binary.from_little_endian(binary.little_endian(n, 8), 8)).first()
+    assert [bytes(x) for x in got[:3]] == [b"\1\2\3\4", b"\4\3\2\1", b"\2\0\0\0ab"] and list(got[3:]) == [0x01020304] * 2
+    cases = [('"x y"', "str", "x y"), ("x", "str", None), ("true", "bool", True), ("yes", "bool", None), ("-3", "int", -3), ("-3", "uint", None), ("12", "uint", 12), ("1.5", "float", 1.5), ("inf", "float", None), ("1e999", "float", None), ("q", "float", None)]
+    for text, kind, want in cases:
+        assert spark.range(1).select(binary.literal(F.lit(text), kind)).first()[0] == want
+
+
+def test_every_receipt_has_a_stamp(spark):
+    draw = random.Random(6)
+    rows = [(n, k, draw.randint(0, 3), draw.randint(0, 4), draw.randint(0, 2)) for n in range(4) for k in range(60)]
+    got = {(r.node, r.seq): (r.wall, r.logical) for r in clock.received(spark.createDataFrame(rows, "node long, seq long, now long, remote_wall long, remote_logical long")).collect()}
+    state = {}
+    for n, k, now, rw, rl in rows:
+        wall, logical = state.get(n, (0, 0))
+        top = max(now, wall, rw)
+        logical = max(logical, rl) + 1 if top == wall == rw else logical + 1 if top == wall else rl + 1 if top == rw else 0
+        state[n] = (top, logical)
+        assert got[n, k] == state[n]
+
+
+def test_store_requests(spark):
+    held = spark.createDataFrame([("n", "m", "k", ""), ("n", "m", "j", "42")], "namespace string, module string, key string, value string")
+    asked = spark.createDataFrame([("n", "m", "k"), ("n", "m", "j"), ("n", "x", "j"), ("n", "m", "")], "namespace string, module string, key string")
+    assert {(r.module, r.key): (r.status, r.value, r.length) for r in store.get(held, asked).collect()} == {("m", "k"): (0, "", 0), ("m", "j"): (0, "42", 2), ("x", "j"): (1, None, None), ("m", ""): (1, None, None)}
+
+
+def test_log_limits_and_namespaces(spark):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y" * 20, 1), ("", "z", 2), ("b", "w", 3), ("b", "v", 3)], "namespace string, value string, record long")
+    assert {r.value for r in log.within_limits(rows, field=10).collect()} == {"x", "w", "v"}
+    assert {r.value for r in log.within_limits(rows, field=10, batch="record", mutations=1).collect()} == set()
+    assert log.of_namespace(rows, "b").count() == 2 and log.of_namespace(rows, None).count() == 5
+
+
+def test_defaults_of_fields(spark):
+    df = spark.createDataFrame([('{"t": 4.5}',), ('{"t": "warm", "u": null}',), ("no json",), (None,)], "p string")
+    got = df.select(mapping.field_or("p", "t", 0.0), mapping.field_or("p", "u", "C")).collect()
+    assert [tuple(r) for r in got] == [(4.5, "C"), (0.0, "C"), (0.0, "C"), (0.0, "C")]
+
+
 def test_fnv(spark):
     def plain(raw):
         h = 2166136261

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import queries
-from factloom.operators import lww
+from factloom.operators import agenda, lww
 from factloom.plans import cascade, graph
 from factloom.plans.registry import Registry
 from factloom.sources.frames import FrameSource
@@ -31,6 +31,63 @@ def test_stock(spark):
     assert {(r.entity, r.component) for r in out} == {(1, "low"), (2, "low"), (2, "critical")}
 
 
+def test_sources_are_told_apart(spark):
+    r = Registry()
+    r.source("A", {"status": "v long", "seen": "v long"})
+    r.source("B", {"status": "v long"})
+    r.rule(["A::status"], writes=["A::seen"])(lambda df: df.withColumn("component", F.lit("seen")))
+    rows = spark.createDataFrame([("A", 1, "status", 5), ("B", 2, "status", 6)], "source string, entity long, component string, value long")
+    for run in (cascade.unrolled, cascade.to_fixpoint):
+        assert [(x.source, x.entity, x.component) for x in run(rows, r).collect()] == [("A", 1, "seen")]
+    with pytest.raises(ValueError, match="source"):
+        cascade.unrolled(rows.drop("source"), r)
+    dirty = rows.withColumnRenamed("value", "dirty_id")
+    assert [x.dirty_id for x in agenda.agenda(dirty, r.watchers(spark), r.rule_table(spark)).collect()] == [5]
+    assert [x.dirty_id for x in agenda.unwatched(dirty, r.watchers(spark)).collect()] == [6]
+    r.rule(["B::status"])(lambda df: df)
+    with pytest.raises(ValueError, match="source"):
+        agenda.agenda(dirty.drop("source"), r.watchers(spark), r.rule_table(spark))
+
+
+def test_rules_read_what_was_written(spark):
+    """A later round sees the writes of the earlier one, and the lower priority's write stays."""
+    r = Registry()
+    r.source("S", {c: "v string" for c in ("in", "mid", "out")})
+    r.rule(["S::in"], priority=9, writes=["S::mid"])(lambda df: df.withColumns({"component": F.lit("mid"), "value": F.lit("first")}))
+    r.rule(["S::in"], priority=1, writes=["S::mid"])(lambda df: df.withColumns({"component": F.lit("mid"), "value": F.lit("second")}))
+
+    @r.rule(["S::mid"], writes=["S::out"])
+    def last(df, context):
+        got = context.get(context.get(df, "S::mid", "mid"), "S::other", "other", "none")
+        return got.withColumns({"component": F.lit("out"), "value": F.concat_ws("/", "mid", "other", F.date_format(context.now, "yyyy"))}).drop("mid", "other")
+
+    rows = spark.createDataFrame([(1, "in", "x")], "entity long, component string, value string")
+    out = cascade.to_fixpoint(rows, r, now=F.lit("2024-05-01").cast("timestamp"))
+    facts = {(x.component): x.value for x in cascade.settled(out).collect()}
+    assert facts == {"mid": "second", "out": "second/none/2024"}
+
+
+def test_atomic_cascades(spark):
+    rows = spark.createDataFrame([(1, 1, "reading", "95"), (2, 1, "reading", "50.5"), (3, 1, "reading", "5"), (4, 1, "reading", "60")], "cause_id long, entity long, component string, value string")
+    got = cascade.atomic(rows, queries.failing_rules()).collect()
+    assert {(x.cause_id, x.kind, x.reason) for x in got if x.kind != "put"} == {(1, "failed", "trap"), (2, "failed", "queue full"), (3, "ack", None), (4, "ack", None)}
+    assert {(x.cause_id, x.component, x.status) for x in got if x.kind == "put"} == {(3, "checked", 3), (3, "many", 0), (4, "checked", 0), (4, "many", 0)}
+    few = cascade.atomic(rows.where("cause_id = 4"), queries.failing_rules(), max_entries=2).collect()
+    assert [(x.kind, x.reason) for x in few] == [("failed", "max depth exceeded")]
+
+
+def test_rules_come_and_go(spark):
+    r = queries.event_rules()
+    r.source("Other", {"x": "value double", "y": "n long"})
+    named = r.rule(["Other::x"])(lambda df: df)
+    assert named and r.watches("<lambda>") == ["Events::view", "Events::click"]
+    assert r.of_type("value double")[-1] == "Other::x" and len(r.of_type("n long")) == 1
+    gone = r.unload("<lambda>")
+    assert gone.rule_id == 0 and [x.rule_id for x in r.rules] == [1, 2, 3, 4]
+    r.rule(["Other::y"])(lambda df: df)
+    assert r.rules[-1].rule_id == 5 and [x.rule_id for x in r.ranked()][:2] == [1, 2]
+
+
 def test_cycles_and_depth(spark):
     r = Registry()
     r.source("S", {"a": "v long", "b": "v long"})
