@@ -7,6 +7,7 @@ special strings, are cut at white space only, and the tokenizer does the rest.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 from typing import Any
@@ -41,6 +42,20 @@ def spaced(text: str) -> list[str]:
     return _BYTE.findall(text)
 
 
+def kind_of(path: str, spec: bytes) -> str:
+    """How texts may be cut for this tokenizer: by the pre-tokenizers that this module knows, else not at all."""
+    if path.endswith(".model"):
+        return "model"
+    data = json.loads(spec)
+    if any("<|" not in t["content"] for t in data.get("added_tokens") or []):
+        return "whole"  # this module leaves only texts with that sign uncut
+    pre = data.get("pre_tokenizer") or {}
+    if pre == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": pre.get("trim_offsets"), "use_regex": True} and not data["normalizer"]:
+        return "byte"
+    split = next((p for p in pre.get("pretokenizers", []) if p["type"] == "Split"), None)
+    return "word" if split and split["pattern"].get("Regex") == WORD_PATTERN and data["model"].get("end_of_word_suffix") else "whole"
+
+
 class Memo:
     """Piece -> what ``encode_all`` gives for it; the last ``most`` to twice ``most`` short pieces are kept."""
 

@@ -15,10 +15,10 @@ words of the stream; u32 crc32 of all before.
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import Chunks
+from .bpe import byte_letters
+from .chunks import Chunks, kind_of
 from .common import fresh_path, id_and_text, stage
 
 LANES, STRIDE, BITS = 1024, 256, 20
@@ -161,11 +162,11 @@ class Block:
 _READY: dict[str, object] = {}
 
 
-def _encoder(version: str, spec, end_id: int):
+def _encoder(version: str, spec, kind: str):
     """Text -> its ids as bytes, made once for a worker.
 
-    Words that are not remembered go to the library as one text; their ids are told apart by the
-    symbols that end a word.
+    Words that are not remembered go to the library's model, in its byte letters; what the
+    patterns of chunks.py do not cover goes to the library as it is.
     """
     if version not in _READY:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -174,23 +175,18 @@ def _encoder(version: str, spec, end_id: int):
         tokenizer = Tokenizer.from_str(spec.value)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        model = json.loads(spec.value)["model"]
-        final = np.zeros(65536, bool)
-        final[[i for s, i in model["vocab"].items() if (suffix := model.get("end_of_word_suffix")) and s.endswith(suffix)]] = True
+        model, letters = tokenizer.model, str.maketrans(dict(enumerate(byte_letters())))
 
         def encode(text: str) -> bytes:
-            return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2").tobytes()
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
         def encode_all(pieces: list[str]) -> list[bytes]:
-            data = encode(" ".join(pieces))
-            ends = (2 * np.flatnonzero(final[np.frombuffer(data, "<u2")]) + 2).tolist()
-            if len(ends) != len(pieces):  # a tokenizer without such symbols
-                return list(map(encode, pieces))
-            return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            lettered = [p if p.isascii() else p.encode().decode("latin-1").translate(letters) for p in pieces]
+            return [array("H", [t.id for t in model.tokenize(p)]).tobytes() for p in lettered]
 
         memo = Chunks(encode_all, encode, b"".join)
         _READY.clear()
-        _READY[version] = lambda text: b"".join(memo(text))
+        _READY[version] = (lambda text: b"".join(memo(text))) if kind == "word" else encode
     return _READY[version]
 
 
@@ -199,10 +195,10 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     with open(tokenizer, encoding="utf-8") as file:
         content = file.read()
     version, spec = hashlib.sha256(content.encode()).hexdigest(), docs.sparkSession.sparkContext.broadcast(content)
-    end = struct.pack("<H", end_id)
+    end, kind = struct.pack("<H", end_id), kind_of(tokenizer, content.encode())
 
     def run(batches):
-        encode = _encoder(version, spec, end_id)
+        encode = _encoder(version, spec, kind)
         for batch in batches:
             ids = [encode(t) + end for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])

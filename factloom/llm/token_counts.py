@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .chunks import Memo, spaced, words
+from .chunks import Memo, kind_of, spaced, words
 from .common import id_and_text
 
 _CACHE = "tokenizer string, digest string, n_tokens long"
@@ -62,24 +62,6 @@ def _counter(version: str, spec, kind: str):
     return _READY[version]
 
 
-def _kind(path: str, spec: bytes) -> str:
-    """How texts may be cut for this tokenizer: by the pre-tokenizers that chunks.py knows, else not at all."""
-    import json
-
-    from . import chunks
-
-    if path.endswith(".model"):
-        return "model"
-    data = json.loads(spec)
-    if any("<|" not in t["content"] for t in data.get("added_tokens") or []):
-        return "whole"  # chunks.py leaves only texts with that sign uncut
-    pre = data.get("pre_tokenizer") or {}
-    if pre == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": pre.get("trim_offsets"), "use_regex": True} and not data["normalizer"]:
-        return "byte"
-    split = next((p for p in pre.get("pretokenizers", []) if p["type"] == "Split"), None)
-    return "word" if split and split["pattern"].get("Regex") == chunks.WORD_PATTERN and (data["model"].get("end_of_word_suffix")) else "whole"
-
-
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, limit: int = 512) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit, digest.
 
@@ -93,7 +75,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, limit: int = 51
     spark = docs.sparkSession
     with open(tokenizer, "rb") as file:
         content = file.read()
-    version, kind = hashlib.sha256(content).hexdigest(), _kind(tokenizer, content)
+    version, kind = hashlib.sha256(content).hexdigest(), kind_of(tokenizer, content)
     spec = spark.sparkContext.broadcast(content)
     rows = id_and_text(docs).select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
     stored = read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest")
