@@ -6,18 +6,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, stage
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int) -> DataFrame:
-    """label, text of at most ``most`` labelled rows for which ``learn`` holds.
+    """label, text of at most ``most`` labelled rows for which ``learn`` holds, written once.
 
     The rows with the smallest hash of doc_id are taken: the same ones at every run.  Null
-    labels and ids are left out, repeated labels count once.  ``most`` bounds the broadcast.
+    labels and ids are left out, repeated labels count once, and of documents that share an id
+    one counts (the smallest hash of the text).  ``most`` bounds the broadcast and the result.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & learn)
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    found = id_and_text(docs).join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "label")).alias("row"))
+    return stage(one.select("row.label", "row.text"), "labelled")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
