@@ -11,6 +11,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def _letters() -> np.ndarray:
     """Code point -> lower-cased letter, or 0 for what is no letter."""
     if not _LETTERS:
         low = np.zeros(0x110000, np.uint32)
-        for k in range(0x32000):
+        for k in range(0x110000):
             c = chr(k)
             if c.isalpha():
                 low[k] = ord(x) if len(x := c.lower()) == 1 else k
@@ -69,12 +70,13 @@ def _clusters(v: np.ndarray, k: int, draw: np.random.Generator) -> np.ndarray:
     return centres
 
 
-def fit(docs: DataFrame, learn: Column, *, each: int = 1000, most_languages: int = 64, clusters: int = 4, reject: float = 0.002) -> Model:
+def fit(docs: DataFrame, learn: Column, *, each: int = 1000, clusters: int = 4, reject: float = 0.002) -> Model:
     """Learn from text and lang of the rows of ``docs`` for which ``learn`` holds; null langs are left out.
 
-    Document frequencies are counted over all of these rows and whole texts.  The centroids are
-    fitted on at most ``each`` rows of each of the ``most_languages`` commonest languages (those
-    with the smallest hash of doc_id): at most 64 x 1000 sparse vectors, as a rule a few thousand.
+    Document frequencies are counted over all of these rows and whole texts.  Every language is
+    learned, its centroids by one task from at most ``each`` of its rows (those with the smallest
+    hash of doc_id and text; repeated rows count once).  The model has ``clusters`` rows of 2,048
+    numbers for each language, however many documents there are.  Null ids are learned from too.
     """
     known = docs.where(learn & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -91,45 +93,46 @@ def fit(docs: DataFrame, learn: Column, *, each: int = 1000, most_languages: int
         frequency[gram] = n
     idf = np.log((1 + frequency[SIZE]) / (1 + frequency[:SIZE])) + 1
 
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
-    hashed = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("hash"))
-    common = hashed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
-    near = hashed.join(F.broadcast(common), "lang")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    known = known.withColumn("hash", F.xxhash64("doc_id", "text")).drop("doc_id")
+    hashed = known.select("lang", "hash")
     # a bound on the hash that keeps a few times ``each`` rows of a language, before any is ranked
-    spans = near.groupBy("lang").agg((F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(3.0 * each) / F.count(F.lit(1)))).alias("below"))
-    chosen = near.join(F.broadcast(spans), "lang").where(F.col("hash").cast("double") <= F.col("below")).select("lang", "doc_id", rank.alias("place")).where(F.col("place") <= each).select("doc_id").distinct()
+    spans = hashed.groupBy("lang").agg((F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(3.0 * each) / F.count(F.lit(1)))).alias("below"))
+    near = hashed.join(spans, "lang").where(F.col("hash").cast("double") <= F.col("below")).select("lang", "hash").distinct()
+    chosen = near.withColumn("place", rank).where(F.col("place") <= each).drop("place")
 
     def sparse(batches):
         for batch in batches:
             rows = [counts(t) for t in batch.column("text").to_pylist()]
             at = [np.flatnonzero(r).astype(np.int16) for r in rows]
             values = [r[i].astype(np.int32) for r, i in zip(rows, at, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([x.tobytes() for x in at]), pa.array([x.tobytes() for x in values])], ["lang", "at", "values"])
-
-    rows = known.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(sparse, "lang string, at binary, values binary").toPandas()
-    rows = rows.sort_values(["lang", "at", "values"], ignore_index=True)
-    languages, centroids, language_of, least = sorted(set(rows["lang"])), [], [], []
-    draw = np.random.default_rng(5)
-    for j, lang in enumerate(languages):
-        own = rows[rows["lang"] == lang]
-        tf = np.zeros((len(own), SIZE), np.float32)
-        for i, (at, values) in enumerate(zip(own["at"], own["values"], strict=True)):
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("hash"), pa.array([x.tobytes() for x in at]), pa.array([x.tobytes() for x in values])], ["lang", "hash", "at", "values"])
+
+    def learned(rows):
+        """One language's centroids, and the cosine below which a text is rejected."""
+        rows = rows.sort_values("hash", ignore_index=True)
+        tf = np.zeros((len(rows), SIZE), np.float32)
+        for i, (at, values) in enumerate(zip(rows["at"], rows["values"], strict=True)):
             tf[i, np.frombuffer(at, np.int16)] = np.frombuffer(values, np.int32)
         v = _vectors(tf, idf)
         v = v[v.any(1)] if v.any() else v
-        centres = _clusters(v, clusters, draw)
-        centroids.append(centres)
-        language_of += [j] * len(centres)
-        least.append(np.quantile((v @ centres.T).max(1), reject))
-    return Model(languages, np.concatenate(centroids) if centroids else np.zeros((0, SIZE)), np.array(language_of, int), np.array(least), idf)
+        centres = _clusters(v, clusters, np.random.default_rng(5))
+        return pd.DataFrame({"lang": [rows["lang"][0]], "centres": [centres.astype("<f4").tobytes()], "least": [float(np.quantile((v @ centres.T).max(1), reject))]})
+
+    rows = known.join(chosen, ["lang", "hash"]).select("lang", "hash", "text").mapInArrow(sparse, "lang string, hash long, at binary, values binary").dropDuplicates(["lang", "hash"])
+    found = sorted(rows.groupBy("lang").applyInPandas(learned, "lang string, centres binary, least double").collect())
+    centroids = [np.frombuffer(centres, "<f4").reshape(-1, SIZE) for _, centres, _ in found]
+    language_of = [j for j, c in enumerate(centroids) for _ in c]
+    return Model([lang for lang, _, _ in found], np.concatenate(centroids) if found else np.zeros((0, SIZE)), np.array(language_of, int), np.array([x for _, _, x in found]), idf)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang_pred, score (the cosine, 0 to 1), rejected.
 
     ``lang_pred`` is ``und`` for a null text or one without a letter, and for all texts when the
-    model has no language; then score is 0 and rejected is true.  Nothing is shuffled; null ids
-    and repeated rows pass through; an empty table gives no rows.
+    model has no language; then score is 0 and rejected is true.  Nothing is shuffled; very long
+    texts are read whole; null ids and repeated rows pass through; of equal cosines the language
+    first in the alphabet wins; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches):
