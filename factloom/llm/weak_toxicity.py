@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
 Many voters, each a lexicon entry (a word, or a pattern: a word's beginning) or a pattern of
-how such entries occur, vote for or against "toxic".  A generative model estimates each voter's
-accuracy from agreement alone (expectation maximisation) and discounts voters for their
-estimated correlations; its posterior labels train a linear classifier.
+how such entries occur, vote "toxic" or not.  A generative model, fitted by expectation
+maximisation, estimates each voter's accuracy and its correlation with the one voter that it
+depends on most (given the class); its posterior labels train a linear classifier.
 """
 
 from __future__ import annotations
@@ -18,12 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text
-from .labelled import logistic, sample, sigmoid
+from .labelled import sample, sigmoid
 
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _STEMS = (4, 5, 6)
-#: Insults that vote in any case.
-INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "disgusting", "pathetic", "worthless", "clown", "imbecile", "dumb", "vermin", "filth", "dummkopf", "abschaum", "trottel", "arschloch", "imbécile", "connard", "ordure", "crétin", "imbécil", "estúpido", "basura", "gilipollas"]
+PATTERNS = ["sure", "several", "share"]  # an entry hardly ever in clean rows; more than one word of such; a twentieth of all words
 
 
 def entries(text: str) -> Counter:
@@ -40,160 +39,198 @@ def entries(text: str) -> Counter:
 class Lexicon(NamedTuple):
     words: dict[str, int]  # entry -> voter
     stems: dict[str, int]
+    sure: frozenset[int]  # voters that hardly ever occur in a clean row
     size: int
-    strong: int  # how many of the first entries are strong
 
     @classmethod
-    def of(cls, found: list[str], strong: int) -> Lexicon:
-        return cls({e: i for i, e in enumerate(found) if e[-1] != "*"}, {e[:-1]: i for i, e in enumerate(found) if e[-1] == "*"}, len(found), strong)
-
-    def hits(self, text: str) -> tuple[np.ndarray, int, int]:
-        """Occurrences of each entry, of any entry, and words, in the whole text."""
-        out, words = np.zeros(self.size, np.float32), _WORD.findall(text.lower())
-        total, known, stems = 0, self.words, self.stems
-        for word, n in Counter(words).items():
-            i = known.get(word)
-            hit = i is not None
-            if hit:
-                out[i] += n
-            for k in _STEMS:
-                j = stems.get(word[:k]) if len(word) > k else None
-                if j is not None:
-                    out[j] += n
-                    hit = True
-            total += n * hit
-        return out, total, len(words)
+    def of(cls, found: list[str], sure: set[str]) -> Lexicon:
+        return cls({e: i for i, e in enumerate(found) if e[-1] != "*"}, {e[:-1]: i for i, e in enumerate(found) if e[-1] == "*"}, frozenset(i for i, e in enumerate(found) if e in sure), len(found))
+
+    def votes(self, text: str) -> list[int]:
+        """The voters that say "toxic" of the whole text: entries that occur, and after them the patterns."""
+        hits, total, n = set(), 0, 0
+        known, stems = self.words, self.stems
+        for word in _WORD.findall(text.lower()):
+            n += 1
+            found = [i for i in (known.get(word), *(stems.get(word[:k]) for k in _STEMS if len(word) > k)) if i is not None]
+            if found:
+                hits.update(found)
+                total += not self.sure.isdisjoint(found)
+        patterns = (not hits.isdisjoint(self.sure), total > 1, total and 20 * total >= n)
+        return [*sorted(hits), *(self.size + k for k, yes in enumerate(patterns) if yes)]
+
+
+class Votes(NamedTuple):
+    """Which voter said "toxic" of which row, as pairs."""
+
+    row: np.ndarray
+    voter: np.ndarray
+    rows: int
+    voters: int
+
+    @classmethod
+    def of(cls, lists: list[list[int]], voters: int) -> Votes:
+        return cls(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([v for x in lists for v in x], np.int64), len(lists), voters)
+
+    def by_row(self, value: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, value, self.rows)
+
+    def by_voter(self, value: np.ndarray) -> np.ndarray:
+        return np.bincount(self.voter, value[self.row], self.voters)
 
 
 class Model(NamedTuple):
     lexicon: Lexicon
-    weights: np.ndarray
+    weights: np.ndarray  # of each voter; the last one is the constant
     accuracy: np.ndarray  # of each voter, for reports: P(votes toxic | toxic), P(votes toxic | clean)
 
-    def score(self, rows: np.ndarray) -> np.ndarray:
-        return sigmoid(rows @ self.weights)
-
+    def score(self, text: str) -> float:
+        return float(sigmoid(self.weights[self.lexicon.votes(text)].sum() + self.weights[-1]))
 
-def describe(lexicon: Lexicon, text: str) -> np.ndarray:
-    """The classifier's input: an indicator for each entry, four of all entries together, a constant."""
-    hits, total, words = lexicon.hits(text)
-    return np.concatenate((hits > 0, [hits[: lexicon.strong].any(), total > 1, np.log1p(total), min(1.0, 20 * total / max(words, 1)), 1.0]))
 
+def mine(rows: DataFrame, *, odds: float = 3.0, least: float = 30.0, sure: float = 0.99) -> tuple[list[str], set[str]]:
+    """All lexicon entries that are far commoner in rows labelled 1 than chance explains, and which of them are hardly ever in others.
 
-def mine(rows: DataFrame, *, most: int = 256, odds: float = 3.0, least: float = 20.0, sure: float = 0.99) -> list[tuple[str, bool]]:
-    """Lexicon entries that are far commoner in rows labelled 1 than chance explains: counted over the whole sample, ``most`` at most.
-
-    With each, whether it is strong: hardly ever in a clean row.
+    Counted over the whole sample.  ``odds`` is the least logarithm of the ratio of shares,
+    ``least`` the likelihood ratio statistic (what chance gives for one of some million entries):
+    about eight toxic rows and no clean one if an eighth of all rows is toxic.  How rare an entry is does not matter beyond that, and neither does how
+    many there are; the sample's size bounds both.
     """
 
     def run(batches):
-        yes, no, n = Counter(), Counter(), [0, 0]
-        for batch in batches:
-            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                (yes if label else no).update(entries(text).keys())
-                n[bool(label)] += 1
-        keys = list(yes)  # entries of clean rows only cannot be chosen
-        yield pa.RecordBatch.from_arrays([pa.array([*keys, None], pa.string()), pa.array([*map(yes.get, keys), n[1]], pa.int64()), pa.array([*(no[k] for k in keys), n[0]], pa.int64())], ["entry", "yes", "no"])
-
-    # an entry seen in clean rows of a task without toxic ones is missed there; a second pass counts the candidates in full
-    counted = rows.mapInArrow(run, "entry string, yes long, no long").where("entry IS NOT NULL").groupBy("entry").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    weight = F.log((F.col("yes") + 0.5) / (F.col("no") + 0.5)) * F.log1p("yes")
-    found = {r["entry"] for r in counted.where("yes >= 3").orderBy(weight.desc(), "entry").limit(8 * most).collect()}
-    if not found:
-        return []
-
-    def again(batches):
-        yes, no, n = Counter(), Counter(), [0, 0]
+        seen = {0: Counter(), 1: Counter()}
         for batch in batches:
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                (yes if label else no).update(found.intersection(entries(text)))
-                n[bool(label)] += 1
-        keys = sorted(found)
-        yield pa.RecordBatch.from_arrays([pa.array([*keys, None], pa.string()), pa.array([*(yes[k] for k in keys), n[1]], pa.int64()), pa.array([*(no[k] for k in keys), n[0]], pa.int64())], ["entry", "yes", "no"])
-
-    full = {r["entry"]: (r["yes"], r["no"]) for r in rows.mapInArrow(again, "entry string, yes long, no long").groupBy("entry").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()}
-    toxic, clean = full.pop(None, (0, 0))
-    ratio = {e: np.log((y + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (clean + 1)) for e, (y, n) in full.items() if y >= max(3, 0.02 * toxic)}
-
-    def surprise(yes: int, no: int) -> float:
-        """The likelihood ratio statistic: how little chance explains so many toxic rows of those with the entry."""
-        share = toxic / (toxic + clean)
-        return 2 * (yes * np.log(yes / ((yes + no) * share)) + (no * np.log(no / ((yes + no) * (1 - share))) if no else 0.0))
-
-    good = sorted((e for e, r in ratio.items() if r >= odds and clean and surprise(*full[e]) >= least), key=lambda e: (-ratio[e] * np.log1p(full[e][0]), e))
-    return [(e, full[e][0] >= sure * sum(full[e])) for e in good[:most]]
-
-
-def label_model(votes: np.ndarray, steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior probability of "toxic" for each row of votes (1, 0 or -1: abstains), and the voters' accuracies.
-
-    Classes start from the majority of votes.  Given the class, voters are first taken as
-    independent; the correlations of what the model leaves unexplained then discount voters that
-    repeat each other, and the model is fitted again.
+                seen[int(bool(label))].update([*entries(text), ""])  # the empty entry counts rows
+        for label, found in seen.items():
+            keys = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[k] * label for k in keys], pa.int64()), pa.array([found[k] * (1 - label) for k in keys], pa.int64())], ["entry", "yes", "no"])
+
+    counted = rows.mapInArrow(run, "entry string, yes long, no long").groupBy("entry").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    whole = counted.where("entry = ''").first()
+    if whole is None or not whole.yes or not whole.no:
+        return [], set()
+    yes, no, toxic, clean = F.col("yes"), F.col("no"), float(whole.yes), float(whole.no)
+    ratio = F.log((yes + 0.5) / (toxic + 1)) - F.log((no + 0.5) / (clean + 1))
+    share = toxic / (toxic + clean)
+    surprise = 2 * (yes * F.log(yes / ((yes + no) * share)) + F.when(no > 0, no * F.log(no / ((yes + no) * (1 - share)))).otherwise(0.0))
+    good = counted.where((F.col("entry") != "") & (yes > 0) & (ratio >= odds) & (surprise >= least))
+    found = sorted(good.collect(), key=lambda r: (-r.yes, r.entry))
+    return [r.entry for r in found], {r.entry for r in found if r.yes >= sure * (r.yes + r.no)}
+
+
+def _parents(votes: Votes, p: np.ndarray, least: float = 0.15) -> np.ndarray:
+    """For each voter the rarer (more special) voter that it depends on most given the class, or -1.
+
+    Dependence is the correlation of the two votes in what the class leaves unexplained.
+    """
+    order = np.argsort(votes.row, kind="stable")
+    row, voter = votes.row[order], votes.voter[order]
+    first = np.searchsorted(row, np.arange(votes.rows + 1))
+    seen, both = votes.by_voter(np.ones(votes.rows)), Counter()
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        own = voter[a:b].tolist()
+        both.update((x, y) for x in own for y in own if (seen[x], x) < (seen[y], y))
+    rate1 = votes.by_voter(p) / max(p.sum(), 1e-9)
+    rate0 = votes.by_voter(1 - p) / max((1 - p).sum(), 1e-9)
+    n1, n0 = p.sum(), (1 - p).sum()
+    best, parent = np.full(votes.voters, least), np.full(votes.voters, -1)
+    for (x, y), n in sorted(both.items()):
+        expected = n1 * rate1[x] * rate1[y] + n0 * rate0[x] * rate0[y]
+        spread = np.sqrt(max(1e-9, (n1 * rate1[x] * (1 - rate1[x]) + n0 * rate0[x] * (1 - rate0[x])) * (n1 * rate1[y] * (1 - rate1[y]) + n0 * rate0[y] * (1 - rate0[y]))))
+        if (strength := (n - expected) / spread) > best[y]:
+            best[y], parent[y] = strength, x
+    return parent
+
+
+def label_model(votes: Votes, known: np.ndarray, steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior probability of "toxic" for each row, and the voters' accuracies.
+
+    A voter that says nothing abstains.  First voters are taken as independent given the class;
+    then each may depend on one other, and has accuracies of its own for when that one has voted
+    too, so that voters which repeat each other add little.  The labels (``known``, 0 or 1) only
+    enter as a prior of the accuracies, worth as many rows as there are; the posterior of a row
+    does not see its own label.
     """
-    cast, yes = votes >= 0, votes == 1
-    # of a sparse lexicon's voters most abstain: they speak for "toxic" only, so a row starts by whether any does
-    p = np.clip((yes.sum(1) - 0.5 * (votes == 0).sum(1)) / np.maximum(cast.sum(1), 1), 0.02, 0.98)
-    share = np.ones(votes.shape[1])
+    spoken = votes.by_row(np.ones(len(votes.row))) > 0
+    p = np.where(spoken, 0.9, 0.02)
+    parent = np.full(votes.voters, -1)
+    accuracy = np.zeros((votes.voters, 2))
     for turn in range(2):
+        fired = set((votes.row * votes.voters + votes.voter).tolist())
+        with_parent = np.array([parent[v] >= 0 and r * votes.voters + int(parent[v]) in fired for r, v in zip(votes.row.tolist(), votes.voter.tolist(), strict=True)], bool)
+        slot = votes.voter + votes.voters * with_parent  # rates without, and with, the parent's vote
         for _ in range(steps):
-            prior = np.clip(p.mean(), 0.01, 0.5)
-            rates = [((w[:, None] * s).sum(0) + 0.1) / (w.sum() + 1) for w in (p, 1 - p) for s in (yes, votes == 0)]
-            yes1, no1, yes0, no0 = (np.clip(r, 1e-4, 1 - 1e-4) for r in rates)
-            logit = np.log(prior / (1 - prior)) + yes @ (share * np.log(yes1 / yes0)) + (votes == 0) @ (share * np.log(no1 / no0))
-            p = sigmoid(np.clip(logit, -12, 12))
+            prior, rates = np.clip(p.mean(), 0.01, 0.5), []
+            for w in (p + known, 2 - p - known):
+                said = np.bincount(slot, w[votes.row], 2 * votes.voters)
+                own = votes.by_voter(w)  # of parents: how often they have voted
+                chance = np.concatenate((np.full(votes.voters, w.sum()), np.where(parent >= 0, own[parent], 1.0)))
+                chance[: votes.voters] -= np.where(parent >= 0, own[parent], 0)
+                rates.append(np.clip((said + 0.1) / (np.maximum(chance, said) + 1), 1e-4, 1 - 1e-4))
+            weight = np.log(rates[0] / rates[1])
+            p = sigmoid(np.clip(np.log(prior / (1 - prior)) + votes.by_row(weight[slot]), -12, 12))
+            p = np.where(spoken, p, np.minimum(p, 0.02))
+        accuracy = np.stack([votes.by_voter(w) / max(w.sum(), 1e-9) for w in (p, 1 - p)], 1)
         if not turn:
-            rest = yes - p[:, None] * yes1 - (1 - p)[:, None] * yes0
-            rest /= rest.std(0) + 1e-9
-            near = np.clip(rest.T @ rest / max(len(rest), 1), 0, 1)
-            share = 1 / np.maximum(np.where(near > 0.2, near, 0).sum(0), 1)
-    return p, np.stack([yes1, yes0], 1)
+            parent = _parents(votes, p)
+    return p, accuracy
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, most: int = 20_000, entries_most: int = 256) -> Model:
+def linear(votes: Votes, target: np.ndarray, penalty: float = 0.3, steps: int = 400) -> np.ndarray:
+    """Weights of a logistic regression of ``target`` (probabilities) on the votes, the last one constant: accelerated descent."""
+    size = np.append(votes.by_voter(np.ones(votes.rows)), votes.rows)
+    most = 1 + np.bincount(votes.row, minlength=votes.rows).max(initial=0)
+    rate = 1 / (0.25 * most * size + penalty)  # a bound on the curvature, for each weight
+    w = ahead = np.zeros(votes.voters + 1)
+    w[-1] = ahead[-1] = np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))
+    for step in range(1, steps + 1):
+        rest = target - sigmoid(votes.by_row(ahead[votes.voter]) + ahead[-1])
+        new = ahead + rate * (np.append(votes.by_voter(rest), rest.sum()) - penalty * np.append(ahead[:-1], 0))
+        ahead, w = new + (step - 1) / (step + 2) * (new - w), new
+    return w
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, most: int = 20_000, always: tuple[str, ...] = ()) -> Model:
     """Learn from at most ``most`` labelled rows for which ``learn`` holds.
 
-    Labels only choose the lexicon's entries; the classifier sees the label model's posteriors.
-    The votes, at most ``most`` x ``entries_most`` bytes (5 MB), come to the driver.  Without
-    labelled rows the lexicon is the fixed list alone.
+    Labels choose the lexicon's entries and are a prior of the voters' accuracies; the classifier
+    sees the label model's posteriors only.
+    ``always`` are words that vote in any case.  The votes of the sample come to the driver, a
+    few numbers a row.  Without labelled rows of both kinds the lexicon is ``always`` alone, and
+    one of its words makes a text toxic.
     """
     rows = sample(docs, labels, "toxic", learn, most)
-    mined = mine(rows, most=entries_most - len(INSULTS))
-    strong = list(dict.fromkeys([*INSULTS, *(e for e, sure in mined if sure)]))
-    found = list(dict.fromkeys([*strong, *(e for e, _ in mined)]))
-    lexicon = Lexicon.of(found, len(strong))
+    mined, sure = mine(rows)
+    given = [w.lower() for w in always]
+    lexicon = Lexicon.of(list(dict.fromkeys([*given, *mined])), sure | set(given))
+    voters = lexicon.size + len(PATTERNS)
+    if not mined:
+        weights = np.full(voters + 1, 4.0)
+        weights[-1] = -2.0
+        return Model(lexicon, weights, np.zeros((0, 2)))
 
     def run(batches):
         for batch in batches:
-            x = [describe(lexicon, t).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary())], ["x"])
-
-    got = sorted(bytes(r["x"]) for r in rows.select("text").mapInArrow(run, "x binary").collect())
-    k = len(found) + 5
-    if not got:
-        weights = np.zeros(k)
-        weights[-5], weights[-1] = 4.0, -2.0  # some insult
-        return Model(lexicon, weights, np.zeros((0, 2)))
-    x = np.frombuffer(b"".join(got), np.float32).reshape(-1, k).astype(float)
-    indicator, (sure, several, total, share) = x[:, : len(strong)], x[:, len(found) : -1].T
-    # strong entries, and patterns of all: a strong one, several words, a share of the text; a lone weak entry is no vote
-    patterns = [np.where(some, 1, np.where(total == 0, 0, -1)) for some in (sure > 0, several > 0, share >= 0.2)]
-    votes = np.column_stack([np.where(indicator > 0, 1, -1), *patterns]).astype(np.int8)
-    posterior, accuracy = label_model(votes)
-    return Model(lexicon, logistic(x, posterior, penalty=0.3), accuracy)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([lexicon.votes(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], ["label", "votes"])
+
+    got = sorted((list(r["votes"]), int(r["label"] != 0)) for r in rows.mapInArrow(run, "label int, votes array<int>").collect())
+    votes = Votes.of([v for v, _ in got], voters)
+    posterior, accuracy = label_model(votes, np.array([y for _, y in got], float))
+    return Model(lexicon, linear(votes, posterior), accuracy)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of ``docs``: doc_id, score (0 to 1), predicted (1 if score >= 0.5).
 
-    Nothing is shuffled.  Null and empty texts have no hits and get the score of that; null ids
-    and repeated rows pass through; an empty table gives no rows.
+    Nothing is shuffled.  Null and empty texts have no votes and get the score of that; null ids
+    and repeated rows pass through; very long texts are read whole; an empty table gives no rows;
+    other columns are ignored.
     """
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            p = model.score(np.stack([describe(model.lexicon, t) for t in texts])) if texts else np.zeros(0)
+            p = np.array([model.score(t) for t in batch.column("text").to_pylist()], float)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -202,13 +239,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which the text is not predicted toxic; nothing is shuffled.
 
-    Null and empty texts stay.
+    Each row is judged by its own text.  Null and empty texts stay.
     """
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            keep = [not t or model.score(describe(model.lexicon, t)[None])[0] < 0.5 for t in texts]
+            keep = [not t or model.score(t) < 0.5 for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
