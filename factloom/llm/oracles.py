@@ -40,9 +40,9 @@ def url_rules(rules: list[tuple[str, str]]) -> str:
     WITH RECURSIVE rules(verdict, h, p, rule) AS (VALUES {values}),
     pages1 AS (SELECT page_id, url, {parts("url")}, {node("url")} AS node, coalesce(html, '') AS html FROM pages),
     named AS (
-        SELECT url, node, regexp_extract(unnest(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b'))), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM pages1 WHERE node <> ''
+        SELECT url, node, regexp_extract(unnest(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\srel\s*=\s*["'']?canonical\b'))), '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM pages1 WHERE node <> ''
         UNION ALL
-        SELECT url, node, regexp_extract(unnest(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)http-equiv\s*=\s*["'']?refresh\b'))), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM pages1 WHERE node <> ''),
+        SELECT url, node, regexp_extract(unnest(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\shttp-equiv\s*=\s*["'']?refresh\b'))), '(?is)["'';,\s]url\s*=\s*["'']?([^"''\s>]+)', 1) FROM pages1 WHERE node <> ''),
     whole AS (
         SELECT node AS a, CASE WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:]*:)//', 1) || t WHEN starts_with(t, '/') THEN regexp_extract(node, '^(.*?://[^/?#]*)', 1) || t WHEN strpos(t, '://') > 0 THEN t END AS t
         FROM (SELECT url, node, trim(replace(t, '&amp;', '&')) AS t FROM named)),

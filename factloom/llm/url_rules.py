@@ -56,8 +56,10 @@ def links(pages: DataFrame) -> DataFrame:
     """src, dst: the canonical links and immediate redirects that each page's html names.
 
     ``<link rel="canonical" href>`` and ``<meta http-equiv="refresh" content="n;url=">`` with an
-    absolute url, or one relative to the host's root.  Columns redirect_url and canonical_url
-    of ``pages``, where they exist as strings, give links too.
+    absolute url, or one relative to the host's root; attributes that only end in these names
+    (``data-href``) do not count.  Urls relative to the page's folder, and ``<base>``, are left
+    out: what they name is on the same host, so its own rule says the same but for its path.
+    Columns redirect_url and canonical_url of ``pages``, where they exist as strings, give links too.
     """
     url = F.col("url")
     root = F.concat(F.substr(url, F.lit(1), F.locate("://", url) + 2), host_and_path(url)[0])
@@ -69,8 +71,8 @@ def links(pages: DataFrame) -> DataFrame:
     def tags(name: str, must: str) -> Column:
         return F.filter(F.regexp_extract_all("html", F.lit(_TAG.format(name)), F.lit(0)), lambda tag: tag.rlike(must))
 
-    canonical = F.transform(tags("link", r"(?i)\brel\s*=\s*[\"']?canonical\b"), lambda tag: F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    refresh = F.transform(tags("meta", r"(?i)http-equiv\s*=\s*[\"']?refresh\b"), lambda tag: F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    canonical = F.transform(tags("link", r"(?i)\srel\s*=\s*[\"']?canonical\b"), lambda tag: F.regexp_extract(tag, r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    refresh = F.transform(tags("meta", r"(?i)\shttp-equiv\s*=\s*[\"']?refresh\b"), lambda tag: F.regexp_extract(tag, r"(?is)[\"';,\s]url\s*=\s*[\"']?([^\"'\s>]+)", 1))
     named = [F.array(F.col(c)) for c in ("redirect_url", "canonical_url") if (c, "string") in pages.dtypes]
     targets = F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in (canonical, refresh, *named)))
     found = pages.where(F.locate("://", url) > 0).select("url", F.explode(targets).alias("to"))
