@@ -311,7 +311,7 @@ def test_classifiers_without_labels(spark):
     docs, none = table(spark), labels(spark, [(1, None, None), (None, 1, 1)])
     got = pairwise_quality.score(docs, pairwise_quality.fit(docs, none, F.lit(True))).collect()
     assert {r.score for r in got} == {0.5} and len(got) == len(TEXTS)
-    got = weak_toxicity.score(docs.union(table(spark, ["you pathetic idiot"], [77])), weak_toxicity.fit(docs, none, F.lit(True))).collect()
+    got = weak_toxicity.score(docs.union(table(spark, ["you pathetic idiot"], [77])), weak_toxicity.fit(docs, none, F.lit(True), always=("idiot",))).collect()
     assert {r.doc_id for r in got if r.predicted} == {77}
     model = centroid_language.fit(docs.selectExpr("doc_id", "text", "cast(null as string) as lang"), F.lit(True))
     assert {(r.lang_pred, r.score, r.rejected) for r in centroid_language.predict(docs, model).collect()} == {("und", 0.0, True)}

@@ -51,6 +51,7 @@ def judged(spark):
         (None, "http://notexample.org/es/", ""),
         (10, "http://s.net/z", ""),
         (11, "ftp://", ""),
+        (12, "http://u.net/", '<link data-rel="x" rel="canonical" data-href="https://b.x.net/p" href="http://v.net/"><meta http-equiv="refresh" content="0" data-url="https://b.x.net/p">'),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'c' AS host", "1 AS component", "'v' AS verdict", "'n' AS node")
     return [tuple(r) for r in judge(pages, RULES).collect()]
@@ -64,8 +65,9 @@ def test_verdicts(judged):
     assert by[4] == by[5] == by[11] == ("", "", None, "allow", False)
     assert by[6] == ("s.net", "", None, "allow", False)
     assert by[7][2:] == (None, "allow", False)  # an alias is allowed explicitly
+    assert by[12][2:] == (None, "allow", False)  # data-href is no link
     assert by[8][2:] == ("x.net/ok", "allow", False)
-    assert by[9][2:] == (None, "block", True) and len(judged) == 13
+    assert by[9][2:] == (None, "block", True) and len(judged) == 14
     assert by[None][2:] == ("org/", "allow", False)
 
 
