@@ -1,57 +1,33 @@
-"""A streaming source of text frames that an application puts into a folder, as a Python data source.
+"""Text frames that web sockets and webhooks have put into a folder, as a stream.
 
-It stands for webhook and web-socket ingress: one JSON line for each frame, ``{"route", "body"}``.
+One JSON line for each frame, ``{"route", "body"}``, in files on any file system that Spark reads.
+Files are tracked by the query's checkpoint, so each is read once.
 """
 
 from __future__ import annotations
 
-import json
-import os
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.types import StructType
+#: The answers of a webhook endpoint.
+RECEIVED, EMPTY, UNKNOWN = 200, 400, 404
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def frames(spark: SparkSession, path: str, routes: list[str] | None = None, *, files_a_batch: int = 1000) -> DataFrame:
+    """route (without leading slash), body, frame (file and digest of the line), status, of each line.
 
+    The status says whether a frame is received, has an empty body (or is no JSON object), or a
+    route that is not among ``routes``.
+    """
+    lines = spark.readStream.option("maxFilesPerTrigger", files_a_batch).option("pathGlobFilter", "*.jsonl").text(path)
+    parsed = F.from_json("value", "route string, body string")
+    route, body = F.ltrim(F.coalesce(parsed["route"], F.lit("")), F.lit("/")), F.coalesce(parsed["body"], F.lit(""))
+    known = F.lit(True) if not routes else route.isin([r.lstrip("/") for r in routes])
+    status = F.when(body == "", EMPTY).when(~known, UNKNOWN).otherwise(RECEIVED)
+    name = F.concat_ws(":", F.col("_metadata.file_name"), F.hex(F.xxhash64("value")))
+    return lines.select(route.alias("route"), body.alias("body"), name.alias("frame"), status.alias("status"))
 
-class _Reader(DataSourceStreamReader):
-    def __init__(self, options: dict):
-        self.folder = options["path"]
-        self.routes = {r.lstrip("/") for r in options.get("routes", "").split(",") if r}
 
-    def _names(self) -> list[str]:
-        return sorted(n for n in os.listdir(self.folder) if n.endswith(".jsonl"))
-
-    def initialOffset(self) -> dict:
-        return {"name": ""}
-
-    def latestOffset(self) -> dict:
-        return {"name": max(self._names(), default="")}
-
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_File(os.path.join(self.folder, n)) for n in self._names() if start["name"] < n <= end["name"]]
-
-    def read(self, partition: _File):
-        with open(partition.path, encoding="utf-8") as lines:
-            for k, line in enumerate(lines):
-                frame = json.loads(line)
-                route, body = frame.get("route", "").lstrip("/"), frame.get("body")
-                if body and (not self.routes or route in self.routes):  # empty bodies and unknown routes are refused
-                    yield (route, body, f"{os.path.basename(partition.path)}:{k}")
-
-
-class FrameSource(DataSource):
-    """``spark.readStream.format("frames")`` after ``spark.dataSource.register(FrameSource)``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "frames"
-
-    def schema(self) -> str:
-        return "route string, body string, frame string"
-
-    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return _Reader(dict(self.options))
+def received(stream: DataFrame) -> DataFrame:
+    """The frames to be mapped."""
+    return stream.where(F.col("status") == RECEIVED).drop("status")

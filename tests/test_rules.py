@@ -9,7 +9,7 @@ from factloom import queries
 from factloom.operators import agenda, lww
 from factloom.plans import cascade, graph
 from factloom.plans.registry import Registry
-from factloom.sources.frames import FrameSource
+from factloom.sources import frames
 from factloom.sources.registry import UnknownSource, conflate, options_for, route
 from factloom.streaming import facts as streams
 
@@ -140,12 +140,11 @@ def test_sources(spark):
 
 
 def test_frames_to_facts_exactly_once(spark, tmp_path):
-    spark.dataSource.register(FrameSource)
     folder = tmp_path / "in"
     folder.mkdir()
     for k in range(3):
         (folder / f"{k}.jsonl").write_text("".join(json.dumps({"route": "/ns/level", "body": json.dumps({"v": k * 10 + j})}) + "\n" for j in range(2)) + json.dumps({"route": "other", "body": "x"}) + "\n" + json.dumps({"route": "/ns/level", "body": ""}) + "\n")
-    stream = spark.readStream.format("frames").option("routes", "ns/level").load(str(folder))
+    stream = frames.received(frames.frames(spark, str(folder), ["/ns/level"]))
     failed = []
 
     def derive(batch):
