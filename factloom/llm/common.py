@@ -48,6 +48,13 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Spark hand texts to Python in batches of at most ``rows`` rows (its default of 10,000 is meant for numbers)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows or int(spark.conf.get(name, "10000")) <= 0:
+        spark.conf.set(name, str(rows))
+
+
 def body(column: str | Column = "text") -> Column:
     """The text of a row; null counts as empty."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
@@ -55,6 +62,7 @@ def body(column: str | Column = "text") -> Column:
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """doc_id and whole text only, so that no other column of the input can clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body("text").alias("text"))
 
 
