@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, small_batches
 from .labelled import sample, sigmoid
 
 _WORD = re.compile(r"[^\W\d_]{2,}")
@@ -99,12 +99,20 @@ def mine(rows: DataFrame, *, odds: float = 3.0, least: float = 30.0, sure: float
 
     def run(batches):
         seen = {0: Counter(), 1: Counter()}
+
+        def counted(least):
+            for label, found in seen.items():
+                if len(found) > least:
+                    keys, n = list(found), list(found.values())
+                    nothing = [0] * len(n)
+                    found.clear()
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n if label else nothing, pa.int64()), pa.array(nothing if label else n, pa.int64())], ["entry", "yes", "no"])
+
         for batch in batches:
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 seen[int(bool(label))].update([*entries(text), ""])  # the empty entry counts rows
-        for label, found in seen.items():
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[k] * label for k in keys], pa.int64()), pa.array([found[k] * (1 - label) for k in keys], pa.int64())], ["entry", "yes", "no"])
+                yield from counted(100_000)
+        yield from counted(0)
 
     counted = rows.mapInArrow(run, "entry string, yes long, no long").groupBy("entry").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     whole = counted.where("entry = ''").first()
@@ -241,6 +249,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     Each row is judged by its own text.  Null and empty texts stay.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
