@@ -15,14 +15,14 @@ def row_range(table: DataFrame, first: int, last: int) -> DataFrame:
     return table.where(F.col("row_id").between(first, last))
 
 
-def last_value(table: DataFrame, column: str) -> DataFrame:
-    """The value of ``column`` in the last row; no row for an empty table."""
-    return table.agg(F.max_by(column, "row_id").alias(column), F.count(F.lit(1)).alias("n")).where("n > 0").select(column)
+def last_value(table: DataFrame, column: str, order: str = "row_id") -> DataFrame:
+    """The value of ``column`` in the last row, by the row number or by another column that has its order; no row for an empty table."""
+    return table.agg(F.max_by(column, order).alias(column), F.count(F.lit(1)).alias("n")).where("n > 0").select(column)
 
 
-def by_key(table: DataFrame, key: str) -> DataFrame:
+def by_key(table: DataFrame, key: str, order: str = "row_id") -> DataFrame:
     """The latest row of each key; earlier ones stay in the columns but are no longer found."""
-    return table.groupBy(key).agg(F.max_by(F.struct(*(c for c in table.columns if c != key)), "row_id").alias("row")).select(key, "row.*")
+    return table.groupBy(key).agg(F.max_by(F.struct(*(c for c in table.columns if c != key)), order).alias("row")).select(key, "row.*")
 
 
 def scan_average(table: DataFrame, where: Column, column: str) -> DataFrame:

@@ -323,6 +323,10 @@ def causal_trace(spark, d):
     return cascade.trace(cascade.unrolled(_readings(spark, d), alert_rules()), F.lit(7)).select("cause_id", "component", "depth")
 
 
+#: The texts that the rules of the alert example write.
+ALERT, NORMAL = "ALERT: reading exceeded threshold", "OK: reading normal"
+
+
 def alert_rules() -> Registry:
     """reading > 10 gives an alert, an alert gives a notification."""
     r = Registry()
@@ -334,7 +338,7 @@ def alert_rules() -> Registry:
 
     @r.rule(["LocalExec::alert"], priority=5, writes=["LocalExec::notification"])
     def on_alert(df):
-        text = F.when(F.col("value") == "true", "ALERT: reading exceeded threshold").otherwise("OK: reading normal")
+        text = F.when(F.col("value") == "true", ALERT).otherwise(NORMAL)
         return df.withColumns({"component": F.lit("notification"), "value": text})
 
     return r
@@ -344,7 +348,7 @@ def _readings(spark, d):
     return read(spark, d, "events").select(F.col("event_id").alias("cause_id"), F.col("user_id").alias("entity"), F.lit("reading").alias("component"), F.col("value").cast("string").alias("value"))
 
 
-_ALERTS = "SELECT event_id AS cause_id, c.component, CASE c.component WHEN 'alert' THEN (value > 10.0)::VARCHAR ELSE CASE WHEN value > 10.0 THEN 'ALERT: reading exceeded threshold' ELSE 'OK: reading normal' END END AS value, c.depth FROM events, (VALUES ('alert', 1), ('notification', 2)) c(component, depth)"
+_ALERTS = f"SELECT event_id AS cause_id, c.component, CASE c.component WHEN 'alert' THEN (value > 10.0)::VARCHAR ELSE CASE WHEN value > 10.0 THEN '{ALERT}' ELSE '{NORMAL}' END END AS value, c.depth FROM events, (VALUES ('alert', 1), ('notification', 2)) c(component, depth)"
 
 
 @query(_ALERTS)
@@ -520,7 +524,7 @@ def table_range(spark, d):
 
 @query(f"{_T} SELECT arg_max(value, row_id) AS value FROM t")
 def table_latest(spark, d):
-    return tables.last_value(_table(spark, d), "value")
+    return tables.last_value(read(spark, d, "events"), "value", "event_id")
 
 
 @query(f"{_T} SELECT row_id, event_type FROM t WHERE row_id = 42")
@@ -530,7 +534,7 @@ def table_by_row(spark, d):
 
 @query("SELECT user_id, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def table_get(spark, d):
-    return tables.by_key(_table(spark, d), "user_id").select("user_id", "value", "event_type")
+    return tables.by_key(read(spark, d, "events"), "user_id", "event_id").select("user_id", "value", "event_type")
 
 
 @query("SELECT avg(value) AS average, count(value) AS n FROM events WHERE event_id BETWEEN 1000 AND 9000 AND event_type = 'view'")
@@ -604,8 +608,10 @@ def bloom_semi(spark, d):
 
 @query("SELECT conv_id AS namespace, count(*) AS n, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id")
 def namespace_scope(spark, d):
-    c = read(spark, d, "conversations").select(F.col("conv_id").alias("namespace"), "turn", "role")
-    return c.groupBy("namespace").agg(F.count(F.lit(1)).alias("n"), F.max_by("role", "turn").alias("last_role"))
+    """Namespaces keep their facts apart: the last role of each, and how many were put."""
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("namespace"), F.lit(0).alias("entity"), F.lit("role").alias("component"), F.col("role").alias("value"), hlc("turn", F.lit(0), F.lit(1)).alias("hlc"), F.col("turn").alias("seq"))
+    facts = lww.latest(c).select("namespace", F.col("value").alias("last_role"))
+    return c.groupBy("namespace").agg(F.count(F.lit(1)).alias("n")).join(facts, "namespace")
 
 
 @query(_LATEST)
