@@ -92,7 +92,7 @@ class Chunks:
     does not cover go to ``encode_whole``, one by one.
     """
 
-    def __init__(self, encode_all: Callable[[list[str]], Iterable[Any]], encode_whole: Callable[[str], Any], join: Callable[[list[Any]], Any], most: int = 500_000):
+    def __init__(self, encode_all: Callable[[list[str]], Iterable[Any]], encode_whole: Callable[[str], Any], join: Callable[[list[Any]], Any], most: int = 800_000):
         self.pieces, self.join = Memo(encode_all, most), join
         self.chunks = Memo(self._chunks, most // 2)
         self.others = Memo(lambda chunks: map(encode_whole, chunks), most // 8)
